@@ -54,13 +54,11 @@ def variable_scale_decimal(scale: Column, value: Column) -> Column:
     high, low = limb(2, 15), limb(17, 16)
     two64 = F.lit("18446744073709551616").cast("decimal(38,0)")
     n = F.when(negative, (high - F.lit("1152921504606846976").cast("decimal(38,0)")) * two64 + low).otherwise(high * two64 + low).cast("decimal(38,0)")
-    out = F.lit(None).cast("decimal(38,18)")
-    for s in range(37, -1, -1):
-        # dividing by shifting the decimal point of the text keeps every digit
-        text = F.lpad(F.regexp_replace(n.cast("string"), "-", ""), s + 1, "0") if s else F.regexp_replace(n.cast("string"), "-", "")
-        moved = text if s == 0 else F.concat(text.substr(F.lit(1), F.length(text) - s), F.lit("."), F.substring(text, -s, s))
-        out = F.when(scale == s, (F.concat(F.when(n < 0, "-").otherwise(""), moved)).cast("decimal(38,18)")).otherwise(out)
-    return out
+    # moving the decimal point of the text keeps every digit
+    plain = F.regexp_replace(n.cast("string"), "-", "")
+    text = F.when(F.length(plain) <= scale, F.concat(F.repeat(F.lit("0"), scale - F.length(plain) + 1), plain)).otherwise(plain)
+    moved = F.when(scale <= 0, F.concat(plain, F.repeat(F.lit("0"), -scale))).otherwise(F.concat(text.substr(F.lit(1), F.length(text) - scale), F.lit("."), text.substr(F.length(text) - scale + 1, scale)))
+    return F.concat(F.when(n < 0, "-").otherwise(""), moved).cast("decimal(38,18)")
 
 
 def zoned_micros(text: Column) -> Column:

@@ -42,7 +42,7 @@ def duration_text(nanos: Column) -> Column:
         n = F.call_function("div", rest, F.lit(size).cast("bigint"))
         parts.append(F.when(n > 0, F.concat(n.cast("string"), F.lit(unit))))
         rest = rest - n * F.lit(size).cast("bigint")
-    return F.when(nanos == 0, F.lit("0s")).otherwise(F.concat_ws("", *parts))
+    return F.when(nanos == 0, F.lit("0s")).when(nanos.isNotNull(), F.concat_ws("", *parts))
 
 
 def parse_duration(text: str) -> float:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,8 +90,6 @@ def murmur3_bytes(data: bytes) -> int:
 
 
 def _bucket_text(n: int):
-    import pandas as pd
-
     @F.pandas_udf(T.IntegerType())
     def run(s: pd.Series) -> pd.Series:
         known: dict = {}

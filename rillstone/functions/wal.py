@@ -38,4 +38,4 @@ def offsets_json(offsets: Column) -> Column:
 
 def offsets_map(text: Column) -> Column:
     """The map of :func:`offsets_json`."""
-    return F.from_json(text, "map<int,bigint>")
+    return F.transform_keys(F.from_json(text, "map<string,bigint>"), lambda k, _: k.cast("int"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import CHUNK_ROWS, running
+from .scan import CHUNK_ROWS, cuts_of, running
 
 SETS, ROW_OPS, OPS = ("r", "c", "u"), ("r", "c", "u", "d"), ("r", "c", "u", "d", "t")
 
@@ -33,12 +33,12 @@ def merge_order(log: DataFrame, partition: str, offset: str, ts: str, *, chunk_r
     return running(rows, ["pm", partition, offset], {"place": ("row", None)}, chunk_rows=chunk_rows)
 
 
-def high_water(log: DataFrame, order: str, ts: Column, wal: Column, *, seed_ts: int | None = None, seed_wal: Column | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def high_water(log: DataFrame, order: str, ts: Column, wal: Column, *, seed_ts: int | None = None, seed_wal: Column | None = None, cuts: list | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Adds the largest time and position before each record (``hw_ts``, ``hw_wal``), the record's ``dup`` (it may be a duplicate: an earlier time or a position not beyond) and ``disorder`` (its time or position runs back).
 
     Seeds are the marks a table has already committed.
     """
-    rows = running(log, [order], {"hw_ts": ("max_before", ts), "hw_wal": ("max_before", wal)}, chunk_rows=chunk_rows)
+    rows = running(log, [order], {"hw_ts": ("max_before", ts), "hw_wal": ("max_before", wal)}, cuts=cuts, chunk_rows=chunk_rows)
     if seed_ts is not None:
         rows = rows.withColumn("hw_ts", F.greatest("hw_ts", F.lit(seed_ts)))
     if seed_wal is not None:
@@ -48,15 +48,16 @@ def high_water(log: DataFrame, order: str, ts: Column, wal: Column, *, seed_ts:
     return rows.withColumns({"dup": late | seen, "ts_back": late, "wal_back": back})
 
 
-def batches(log: DataFrame, order: str, size: int, cut: list[str], *, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def batches(log: DataFrame, order: str, size: int, cut: list[str], *, cuts: list | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Adds ``bid``: batches are cut after ``size`` records, at every change of one of ``cut`` (source day, schema version), and around a truncate."""
+    cuts = cuts_of(log, order, chunk_rows) if cuts is None else cuts
     same = [F.col(c) for c in cut]
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(same)], (F.col("op") == "t").alias("t"))
-    one = running(log, [order], {"_prev": ("lag", key), "_row": ("row", None)}, chunk_rows=chunk_rows)
+    one = running(log, [order], {"_prev": ("lag", key), "_row": ("row", None)}, cuts=cuts)
     change = (F.col("_prev").isNull() | ~key.eqNullSafe(F.col("_prev")) | (F.col("op") == "t")).cast("bigint")
-    two = running(one.withColumn("_chg", change), [order], {"_start": ("max", F.when(F.col("_chg") == 1, F.col("_row")))}, chunk_rows=chunk_rows)
+    two = running(one.withColumn("_chg", change), [order], {"_start": ("max", F.when(F.col("_chg") == 1, F.col("_row")))}, cuts=cuts)
     first = (F.pmod(F.col("_row") - F.col("_start"), F.lit(size)) == 0).cast("bigint")
-    return running(two.withColumn("_first", first), [order], {"bid": ("sum", F.col("_first"))}, chunk_rows=chunk_rows).drop("_prev", "_row", "_chg", "_start", "_first")
+    return running(two.withColumn("_first", first), [order], {"bid": ("sum", F.col("_first"))}, cuts=cuts).drop("_prev", "_row", "_chg", "_start", "_first")
 
 
 def net_changes(log: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -15,25 +15,34 @@ from pyspark.sql import functions as F
 CHUNK_ROWS = 2_000_000
 
 
-def _chunk(df: DataFrame, first: str, rows: int) -> tuple[DataFrame, bool]:
-    n = df.count()
-    parts = max(1, math.ceil(n / rows))
-    if parts == 1:
-        return df.withColumn("_chunk", F.lit(0)), False
-    cuts = sorted(set(df.agg(F.percentile_approx(first, [i / parts for i in range(1, parts)], 100 * parts)).head()[0]))
+#: Points of the order that one look at the rows gives; chunks end at some of them.
+POINTS = 256
+
+
+def cuts_of(df: DataFrame, first: str, chunk_rows: int = CHUNK_ROWS) -> list:
+    """Values of ``first`` at which chunks end, none if the rows fit one. One job; the cuts serve every scan over the same order."""
+    got = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(first, [i / POINTS for i in range(1, POINTS)], 100 * POINTS).alias("at")).head()
+    parts = min(POINTS, math.ceil(got.n / chunk_rows))
+    if parts <= 1:
+        return []
+    return sorted({got.at[min(len(got.at) - 1, max(0, round(i * POINTS / parts) - 1))] for i in range(1, parts)})
+
+
+def _chunk(df: DataFrame, first: str, cuts: list) -> DataFrame:
     at = F.lit(0)
     for c in cuts:
         at = at + (F.col(first) > F.lit(c)).cast("int")
-    return df.withColumn("_chunk", at), True
+    return df.withColumn("_chunk", at)
 
 
-def running(df: DataFrame, order: list[str], adds: dict[str, tuple[str, Column | None]], *, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def running(df: DataFrame, order: list[str], adds: dict[str, tuple[str, Column | None]], *, cuts: list | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``df`` with running columns over the rows in ``order`` (a total order; its first column numeric and not null).
 
     Kinds: ``row`` (number from 1), ``sum`` and ``max`` up to and with the row, ``max_before`` up to the row before it,
-    ``lag`` (value of the row before). No rows give no rows.
+    ``lag`` (value of the row before). No rows give no rows. ``cuts``: from :func:`cuts_of`, found anew if not given.
     """
-    df, many = _chunk(df, order[0], chunk_rows)
+    cuts = cuts_of(df, order[0], chunk_rows) if cuts is None else cuts
+    df, many = _chunk(df, order[0], cuts), bool(cuts)
     w = Window.partitionBy("_chunk").orderBy(*order)
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     local = {

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import time
 from ..session import micros
 
 SOURCE = T.StructType([T.StructField("ts_ms", T.LongType()), T.StructField("file", T.StringType()), T.StructField("pos", T.LongType()), T.StructField("lsn", T.LongType())])
@@ -64,7 +65,7 @@ def from_events(events: DataFrame, partitions: int = 4) -> DataFrame:
     Columns: lsn, seq, id, ts_ms, dt, v, pv (the value before), op, kafka_partition, kafka_offset.
     """
     w = Window.partitionBy("user_id").orderBy("event_id")
-    p = events.select("event_id", "user_id", "ts", (F.floor(micros(events, "ts") / 1000)).alias("ts_ms"), F.to_date("ts").alias("dt"), "value", "event_type", F.lag("event_type").over(w).alias("pt"), F.lag("value").over(w).alias("pv"))
+    p = events.select("event_id", "user_id", "ts", time.convert(micros(events, "ts"), "MICROS", "MILLIS").alias("ts_ms"), F.to_date("ts").alias("dt"), "value", "event_type", F.lag("event_type").over(w).alias("pt"), F.lag("value").over(w).alias("pv"))
     p = p.filter(~((F.col("event_type") == "error") & (F.col("pt").isNull() | (F.col("pt") == "error"))))
     op = F.when(F.col("event_type") == "error", "d").when(F.col("pt").isNull() | (F.col("pt") == "error"), "c").otherwise("u")
     log = p.select((F.col("event_id") + 1).alias("lsn"), F.col("event_id").alias("seq"), F.col("user_id").alias("id"), "ts_ms", "dt", F.col("value").alias("v"), F.col("pv"), op.alias("op"), F.pmod("user_id", F.lit(partitions)).cast("int").alias("kafka_partition"))

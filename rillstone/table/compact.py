@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import evolve
-from .log import DATA, EQ, POS, SOURCE, SQUASHED, CommitConflict, File, Metadata, Snapshot, Table, merge
+from .log import DATA, EQ, POS, SOURCE, SQUASHED, CommitConflict, File, Metadata, Snapshot, Table, merge, read_name
 
 
 class InvalidCompaction(ValueError):
@@ -79,6 +79,18 @@ def dangling(positions: DataFrame, files: DataFrame) -> DataFrame:
     return positions.join(files.select("file_path").distinct(), "file_path", "left_anti")
 
 
+def net_file_changes(manifest: DataFrame, low: int, high: int) -> DataFrame:
+    """The same as :func:`net_files` over a manifest frame (snapshot, file_path, change 'added' or 'removed'), for ranges of any size: file_path and change."""
+    own = manifest.filter((F.col("snapshot") > low) & (F.col("snapshot") <= high))
+    added, removed = own.filter("change = 'added'").select("file_path").distinct(), own.filter("change = 'removed'").select("file_path").distinct()
+    return added.join(removed, "file_path", "left_anti").withColumn("change", F.lit("added")).unionByName(removed.join(added, "file_path", "left_anti").withColumn("change", F.lit("removed")))
+
+
+def net_operation_column(all_replace, added_data, added_deletes, removed):
+    """:func:`net_operation` as a column expression over counts."""
+    return F.when(all_replace, "replace").when(added_data + added_deletes + removed == 0, "noop").when(added_data == 0, "delete").when(added_deletes + removed == 0, "append").otherwise("overwrite")
+
+
 def squash(table: Table, low: int | None, high: int, new: list[File], schema: int | None = None) -> Snapshot | None:
     """Replace the snapshots after low up to high by one that adds ``new`` (data files and equality deletes only); later snapshots, also those committed meanwhile, follow it.
 
@@ -186,6 +198,6 @@ def _without_empty(table: Table, files: list[File]) -> list[File]:
     """Files that hold rows: a range whose rows are all deleted leaves none."""
     if not files:
         return files
-    full = table.spark.read.parquet(*[f.path for f in files]).select(F.col("_metadata.file_name").alias("n")).distinct()
+    full = table.spark.read.parquet(*[f.path for f in files]).select(read_name().alias("n")).distinct()
     names = {r.n for r in full.collect()}  # one row per file
     return [f for f in files if f.name in names]

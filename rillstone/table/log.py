@@ -10,6 +10,7 @@ another commit came between, the edit is applied anew to what that left.
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 from collections.abc import Callable, Iterable
@@ -24,6 +25,8 @@ from ..functions.transforms import transform
 from ..operators.netchange import apply_equality_deletes
 from ..schema import evolve
 
+#: From the folder of one write on.
+_BELOW = r"(?:data|deletes)/[0-9a-f]{32}/.*$"
 DATA, EQ, POS = "data", "equality-deletes", "position-deletes"
 TS, WAL, OFFSETS, SQUASHED, SOURCE = "source-ts", "source-wal-position", "broker-offsets", "squash-snapshots-id", "source-snapshot-id"
 
@@ -46,7 +49,8 @@ class File:
 
     @property
     def name(self) -> str:
-        return self.path.rpartition("/")[2]
+        """The path below the table, which tells files apart however a file system spells its root."""
+        return re.search(_BELOW, self.path)[0]
 
 
 @dataclass(frozen=True)
@@ -192,15 +196,15 @@ class Table:
                 out.append(p)
         return sorted(out)
 
-    def write_data(self, df: DataFrame, meta: Metadata | None = None, *, clustered: bool = False, max_records: int | None = None) -> list[File]:
-        """Write rows as files of the current schema and spec; gives files without sequence (-1). ``clustered`` gathers each partition's rows first, so that every task writes few files; else each task fans out."""
+    def write_data(self, df: DataFrame, meta: Metadata | None = None, *, clustered: bool = False, max_records: int | None = None, by: str | None = None) -> list[File]:
+        """Write rows as files of the current schema and spec; gives files without sequence (-1). ``clustered`` gathers each partition's rows first, so that every task writes few files; else each task fans out. ``by``: a column that splits files further (see :func:`part_value`)."""
         meta = meta or self.metadata()
         schema, spec = meta.schemas[meta.schema], meta.specs[meta.spec]
         parts = self._partition(df, spec)
         cols = [F.col(f"`{f.name}`").cast(_bare(f.dataType)).cast(evolve.physical(f.dataType)).alias(f"c{f.metadata[evolve.ID]}") for f in schema.fields]
         # names of the transforms may clash with columns: partitions go by number
-        out = df.select(*cols, *[c.alias(f"_p{i}") for i, (_, c) in enumerate(parts)])
-        names = [f"_p{i}" for i in range(len(parts))]
+        out = df.select(*cols, *[c.alias(f"_p{i}") for i, (_, c) in enumerate(parts)], *([F.col(by).alias("_by")] if by else []))
+        names = [*(["_by"] if by else []), *[f"_p{i}" for i in range(len(parts))]]
         if clustered and names:
             out = out.repartition(*names).sortWithinPartitions(*names)
         path = f"{self.root}/data/{uuid.uuid4().hex}"
@@ -212,13 +216,15 @@ class Table:
         w.parquet(path)
         return [File(p, DATA, -1, meta.spec, "/".join(x for x in p.split("/")[:-1] if x.startswith("_p"))) for p in self._list(path)]
 
-    def write_equality_deletes(self, keys: DataFrame, meta: Metadata | None = None) -> list[File]:
-        """Write distinct keys (columns are the table's names)."""
+    def write_equality_deletes(self, keys: DataFrame, meta: Metadata | None = None, *, by: str | None = None) -> list[File]:
+        """Write distinct keys (columns are the table's names), split by the column ``by`` if one is named."""
         meta = meta or self.metadata()
         schema = meta.schemas[meta.schema]
         path = f"{self.root}/deletes/{uuid.uuid4().hex}"
-        ids = [schema[c].metadata[evolve.ID] for c in keys.columns]
-        keys.select(*[F.col(f"`{c}`").cast(schema[c].dataType).alias(f"c{i}") for c, i in zip(keys.columns, ids)]).distinct().write.parquet(path)
+        names = [c for c in keys.columns if c != by]
+        ids = [schema[c].metadata[evolve.ID] for c in names]
+        out = keys.select(*[F.col(f"`{c}`").cast(schema[c].dataType).alias(f"c{i}") for c, i in zip(names, ids)], *([F.col(by).alias("_by")] if by else [])).distinct().write
+        (out.partitionBy("_by") if by else out).parquet(path)
         return [File(p, EQ, -1, meta.spec, "", tuple(f"c{i}" for i in ids)) for p in self._list(path)]
 
     def write_position_deletes(self, positions: DataFrame) -> list[File]:
@@ -341,6 +347,11 @@ class Table:
         return next((s.summary[key] for s in meta.ancestors(meta.refs.get("main")) if key in s.summary), None)
 
 
+def part_value(f: File) -> str:
+    """The value of the ``by`` column that a file was split by."""
+    return next(x.partition("=")[2] for x in f.path.split("/") if x.startswith("_by="))
+
+
 def _bare(t: T.DataType) -> T.DataType:
     """The type without requirements, so that casts need not prove them."""
     if isinstance(t, T.StructType):
@@ -352,6 +363,11 @@ def _bare(t: T.DataType) -> T.DataType:
     return t
 
 
+def read_name() -> Column:
+    """The name of the file that a row is read from, as :attr:`File.name` has it; Spark gives its path as an encoded address."""
+    return F.url_decode(F.replace(F.regexp_extract("_metadata.file_path", _BELOW, 0), F.lit("+"), F.lit("%2B")))
+
+
 def _with_seq(spark: SparkSession, df: DataFrame, files: list[File]) -> DataFrame:
     """Adds ``_seq`` from the file each row lies in; one sequence needs no join."""
     seqs = {f.seq for f in files}
@@ -374,9 +390,9 @@ def merge(spark: SparkSession, files: list[File], schema: T.StructType, *, posit
     eq, pos = [f for f in files if f.content == EQ], [f for f in files if f.content == POS]
     rows = spark.read.schema(phys).parquet(*[f.path for f in data])
     if eq or pos or positions:
-        rows = rows.select("*", F.col("_metadata.file_name").alias("_name"), F.col("_metadata.row_index").alias("_pos"))
+        rows = rows.select("*", read_name().alias("_name"), F.col("_metadata.row_index").alias("_pos"))
     if pos:
-        dead = spark.read.parquet(*[f.path for f in pos]).select(F.element_at(F.split("file_path", "/"), -1).alias("_name"), F.col("pos").alias("_pos")).distinct()
+        dead = spark.read.parquet(*[f.path for f in pos]).select(F.regexp_extract("file_path", _BELOW, 0).alias("_name"), F.col("pos").alias("_pos")).distinct()
         rows = rows.join(dead, ["_name", "_pos"], "left_anti")
     if eq:
         rows = _with_seq(spark, rows, data)
@@ -386,6 +402,6 @@ def merge(spark: SparkSession, files: list[File], schema: T.StructType, *, posit
             # keys whose column was dropped since can't be told apart any more: such deletes were final when written
             if not all(k in types for k in keys):
                 continue
-            d = spark.read.schema(T.StructType([T.StructField(k, types[k]) for k in keys])).parquet(*[f.path for f in own]).select("*", F.col("_metadata.file_name").alias("_name"))
+            d = spark.read.schema(T.StructType([T.StructField(k, types[k]) for k in keys])).parquet(*[f.path for f in own]).select("*", read_name().alias("_name"))
             rows = apply_equality_deletes(rows, _with_seq(spark, d, own).select(*keys, "_seq"), list(keys), "_seq")
     return rows.select(*logical, *([F.col("_name"), F.col("_pos")] if positions else []))

@@ -93,7 +93,7 @@ def groups(chain: Iterable[Snapshot], key: Callable[[Snapshot], str]) -> list[Gr
 
 def groups_of(snapshots: DataFrame, key: Column, order: str, ident: str) -> DataFrame:
     """The same over a frame of a chain's snapshots, as gaps and islands: key, size, low, high."""
-    w = Window.orderBy(order)  # one row per snapshot of a table
+    w = Window.orderBy("_o")  # one row per snapshot of a table
     rows = snapshots.select(F.col(ident).alias("_id"), F.col(order).alias("_o"), key.alias("key"))
     rows = rows.withColumns({"_chg": (~F.lag("key").over(w).eqNullSafe(F.col("key")) | F.lag("_o").over(w).isNull()).cast("int"), "_before": F.lag("_id").over(w)})
     rows = rows.withColumn("_g", F.sum("_chg").over(w.rowsBetween(Window.unboundedPreceding, 0)))
