@@ -87,8 +87,8 @@ def _aligned(a: dict, b: dict, fields_a: int, fields_b: int, bare: bool) -> bool
     return False
 
 
-def _wrapped_run(lines: list[str], table: list[bool], i: int) -> int:
-    """The last line of the paragraph wrapped by hand that begins at line i, or i if none does.
+def _wrapped_run(lines: list[str], table: list[bool], i: int) -> tuple[int, int]:
+    """The last line of the paragraph wrapped by hand that begins at line i, or i if none does; and the last line looked at.
 
     In such a paragraph no line had room for the first word of the next, at the width of its longest line; some line begins
     within a sentence. Lists and headlines fail on one of both.
@@ -107,7 +107,7 @@ def _wrapped_run(lines: list[str], table: list[bool], i: int) -> int:
         head = nxt.lstrip("\"'([«„“-")[:1]
         inner = inner or cjk or head.islower() or head.isdigit() or (nxt.isupper() and first.isupper())
         width, room, k = w, r, k + 1
-    return k if inner and width >= 20 and (k - i >= 2 or k - i == 1 and lines[k][:1].islower()) else i
+    return (k if inner and width >= 20 and (k - i >= 2 or k - i == 1 and lines[k][:1].islower()) else i), k
 
 
 def sentence(text: str, wrapped: bool = False) -> bool:
@@ -156,7 +156,7 @@ def units(text: str) -> Iterator[tuple[str, str]]:
     for i in range(n - 1):
         if lines[i] and lines[i + 1] and _aligned(marks[i], marks[i + 1], count[i], count[i + 1], lines[i].rstrip()[-1:] not in ENDS and lines[i + 1].rstrip()[-1:] not in ENDS):
             table[i] = table[i + 1] = True
-    i = 0
+    i = tried = 0
     while i < n:
         line = lines[i]
         if not line.strip():
@@ -171,7 +171,10 @@ def units(text: str) -> Iterator[tuple[str, str]]:
             yield "list", line
             i += 1
             continue
-        k = _wrapped_run(lines, table, i)
+        k = i
+        if i >= tried:
+            # lines of a run that was none don't begin another, so that the work stays linear
+            k, tried = _wrapped_run(lines, table, i)
         unit = ("" if _CJK.search(line) else " ").join(x.strip() for x in lines[i : k + 1]) if k > i else line
         yield ("prose" if sentence(unit, k > i) else "other"), "\n".join(lines[i : k + 1])
         i = k + 1
