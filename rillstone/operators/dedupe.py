@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 
 def frequency(messages: DataFrame, ident: list[str], arrived: str, tie: str) -> DataFrame:
-    """Per identifier: its copies ``_copies`` and its first arrival ``_first`` (``arrived``, then ``tie``); combined before the shuffle."""
-    return messages.groupBy(*ident).agg(F.count(F.lit(1)).alias("_copies"), F.min(F.struct(arrived, tie)).alias("_first"))
+    """Per identifier: its copies ``_copies`` and its first arrival ``_first`` (``arrived``, nulls last, then ``tie``); combined before the shuffle."""
+    return messages.groupBy(*ident).agg(F.count(F.lit(1)).alias("_copies"), F.min(F.struct(F.col(arrived).isNull().alias("_late"), arrived, tie)).alias("_first"))
 
 
 def _ranked(messages: DataFrame, ident: list[str], arrived: str, tie: str, group_rows: int) -> DataFrame:

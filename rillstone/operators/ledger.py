@@ -185,7 +185,7 @@ def process(spark: SparkSession, ledger: Ledger, records: dict[str, DataFrame],
             least = rows.agg(F.min("arrived_us")).head()[0]
             first = min(first, least if least is not None else first)
         windows = _windows(spark, mine, first)
-        hit = rows.withColumn("day", F.floor(F.col("arrived_us") / F.lit(DAY))).join(windows, "day").filter("arrived_us > low and arrived_us <= high")
+        hit = rows.select("row_id", "arrived_us").withColumn("day", F.floor(F.col("arrived_us") / F.lit(DAY))).join(windows, "day").filter("arrived_us > low and arrived_us <= high")
         parts.append(hit.select("run_id", F.lit(name).alias("table_name"), "row_id", "item_id"))
     out = parts[0]
     for p in parts[1:]:

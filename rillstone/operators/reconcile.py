@@ -209,7 +209,7 @@ def _hashed(rows: DataFrame, fields: list[str], buckets: int) -> DataFrame:
     # the null flags tell null from empty, the second seed makes bucket and hash independent
     cols = [c for f in fields for c in (F.col(f), F.col(f).isNull())]
     h = F.pmod(F.xxhash64(*cols, F.lit(17)), F.lit(2**60))
-    return rows.withColumn("h", h).withColumn("bucket", F.pmod(F.xxhash64(F.lit(5), *cols), F.lit(buckets)))
+    return rows.select("*", h.alias("_rill_h"), F.pmod(F.xxhash64(F.lit(5), *cols), F.lit(buckets)).alias("_rill_bucket"))
 
 
 def differing_rows(left: DataFrame, right: DataFrame, fields: list[str], *, bucket_rows: int = 128, bound: int = 16) -> tuple[DataFrame, DataFrame]:
@@ -218,7 +218,7 @@ def differing_rows(left: DataFrame, right: DataFrame, fields: list[str], *, buck
     n = max(a.count(), b.count())
     buckets = max(1, -(-n // bucket_rows))
     a, b = _hashed(a, fields, buckets), _hashed(b, fields, buckets)
-    ha, hb = (materialise(x.select("bucket", "h"), "hashes") for x in (a, b))
+    ha, hb = (materialise(x.select(F.col("_rill_bucket").alias("bucket"), F.col("_rill_h").alias("h")), "hashes") for x in (a, b))
     solved = None
     # open buckets; every bucket at first
     open_: DataFrame | None = None
@@ -235,7 +235,8 @@ def differing_rows(left: DataFrame, right: DataFrame, fields: list[str], *, buck
     out = []
     for rows, hashes, poly in ((a, ha, "num"), (b, hb, "den")):
         roots = hashes.join(solved.select("bucket", F.col(poly).alias("poly")), "bucket").select("bucket", "h", "poly").mapInArrow(_roots, "bucket bigint, h bigint")
-        out.append(rows.join(roots, ["bucket", "h"], "left_semi").select(*fields))
+        roots = roots.select(F.col("bucket").alias("_rill_bucket"), F.col("h").alias("_rill_h"))
+        out.append(rows.join(roots, ["_rill_bucket", "_rill_h"], "left_semi").select(*fields))
     return out[0], out[1]
 
 
@@ -256,9 +257,9 @@ def differences(left: DataFrame, right: DataFrame, key: str, fields: list[str],
         got = rows.select(*cols).join(keys, rows[key].eqNullSafe(keys["_key"]), "left_semi").withColumn("_side", F.lit(side))
         sides = got if sides is None else sides.unionByName(got)
     value = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields]))
-    cells = sides.select(key, "_side", value.alias("_c")).select(key, "_side", "_c.field", "_c.value")
+    cells = sides.select(key, "_side", value.alias("_c")).select(key, "_side", F.col("_c.field").alias("_field"), F.col("_c.value").alias("_value"))
     # which sides have a value; combined before the shuffle
-    per_value = cells.groupBy(key, "field", "value").agg(F.bit_or("_side").alias("_in"))
-    per_field = per_value.groupBy(key, "field").agg(F.bit_or("_in").alias("_in"), F.min("_in").alias("_least"), F.max("_in").alias("_most"))
-    one = F.when(F.col("_in") == 1, F.lit(names[0])).when(F.col("_in") == 2, F.lit(names[1])).when((F.col("_least") < 3), F.col("field"))
+    per_value = cells.groupBy(key, "_field", "_value").agg(F.bit_or("_side").alias("_in"))
+    per_field = per_value.groupBy(key, "_field").agg(F.bit_or("_in").alias("_in"), F.min("_in").alias("_least"))
+    one = F.when(F.col("_in") == 1, F.lit(names[0])).when(F.col("_in") == 2, F.lit(names[1])).when(F.col("_least") < 3, F.col("_field"))
     return per_field.select(key, one.alias("difference")).filter("difference is not null").distinct()
