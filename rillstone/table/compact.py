@@ -2,8 +2,8 @@
 
 For snapshots after ``low`` up to ``high``: rows are read by merging the deletes of the range and written again, equality
 deletes become one set of distinct keys that still hits rows before the range, and one snapshot replaces the range. All
-files of the new snapshot count as of the range's last sequence, so that what comes before or after the range compares
-with them as before. The chain changes in a single metadata version: no reader sees a state between.
+files of the new snapshot count as of the last sequence of the range's files, so that what comes before or after the range
+compares with them as before. The chain changes in a single metadata version: no reader sees a state between.
 """
 
 from __future__ import annotations
@@ -115,7 +115,9 @@ def squash(table: Table, low: int | None, high: int, new: list[File], schema: in
         made, parent = None, low
         if op != "noop":
             summary = {**top.summary, SQUASHED: ",".join(str(s.id) for s in run)}
-            files = [File(**asdict(f) | {"seq": top.seq}) for f in new]
+            # files keep the sequence they were first committed with when their snapshot is picked anew, so theirs counts
+            seq = max((f.seq for s in run for f in s.added), default=top.seq)
+            files = [File(**asdict(f) | {"seq": seq}) for f in new]
             made = table.add_snapshot(meta, op, files, removed, summary, parent=low, schema=top.schema if schema is None else schema, ts_ms=top.ts_ms)
             parent = made.id
         for s in later:
