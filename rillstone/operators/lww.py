@@ -27,7 +27,7 @@ def apply_changes_sql(keys: list[str], seq: str, op: str, fields: dict[str, tupl
     for name, (value, present) in fields.items():
         # a replacement sets every field, those it lacks to null
         said = f"({_in(op, replace_ops)} or ({_in(op, patch_ops)} and ({present})))"
-        parts.append(f"max_by(struct({seq} as s, {value} as v), {seq}) filter (where {said}) as `_f_{name}`")
+        parts.append(f"max_by(struct({seq} as s, {value} as v), struct({seq} as s, {value} as v)) filter (where {said}) as `_f_{name}`")
         out.append(f"case when (_gone is null or `_f_{name}`.s > _gone) and (_whole is null or `_f_{name}`.s >= _whole) then `_f_{name}`.v end as `{name}`")
     return f"select {', '.join([by, '_set as last_change', *out])} from (select {by}, {', '.join(parts)} from {source} where {seq} is not null group by {by}) where _set is not null and (_gone is null or _set > _gone)"
 
@@ -37,6 +37,7 @@ def apply_changes(changes: DataFrame, keys: list[str], seq: str, op: str, fields
 
     ``seq`` and ``op`` are SQL expressions over ``changes``; ``fields`` maps a column to its value and to the condition
     under which a patch sets it (a patch without the field leaves it). Operations of no list do nothing, as do changes
-    without sequence. A null key is a key. At the same sequence a delete wins over a set.
+    without sequence. A null key is a key. At the same sequence a delete wins over a set, and of several values the
+    largest, nulls last.
     """
     return changes.sparkSession.sql(apply_changes_sql(keys, seq, op, fields, replace_ops=replace_ops, patch_ops=patch_ops, delete_ops=delete_ops), changes=changes)

@@ -19,9 +19,9 @@ _NEVER = 2**63 - 1
 
 
 def parent_states(parents: DataFrame, key: str, loaded_us: str, deleted: str) -> DataFrame:
-    """One row per parent key: ``_key``, ``_loaded`` (its earliest load, or the largest number if unknown), ``_gone`` (whether some row has a deletion). Null keys are no parents."""
+    """One row per parent key: ``_key``, ``_loaded`` (its earliest load; no load is known to be late if none is known), ``_gone`` (whether some row has a deletion). Null keys are no parents."""
     rows = parents.filter(F.col(key).isNotNull())
-    return rows.groupBy(F.col(key).alias("_key")).agg(F.coalesce(F.min(loaded_us), F.lit(_NEVER)).alias("_loaded"), F.coalesce(F.bool_or(F.col(deleted).isNotNull()), F.lit(False)).alias("_gone"))
+    return rows.groupBy(F.col(key).alias("_key")).agg(F.coalesce(F.min(loaded_us), F.lit(-_NEVER)).alias("_loaded"), F.coalesce(F.bool_or(F.col(deleted).isNotNull()), F.lit(False)).alias("_gone"))
 
 
 def _range(col: str, cuts: list[int]):
@@ -63,7 +63,7 @@ def orphans(children: DataFrame, parents: DataFrame, child_id: str, ref: str, lo
     """Distinct references that point nowhere: child_id, ref_id, kind, period.
 
     ``children``: columns ``child_id``, ``ref``, ``loaded_us`` (microseconds) and ``period`` (text); rows with a null
-    reference are no cases. A child without time of load finds no parent late. ``parents`` comes from
+    reference are no cases. Where a time of load is unknown on either side nothing is late. ``parents`` comes from
     :func:`parent_states`. No parents at all make every reference missing. Repeated rows are one case.
     """
     refs = children.filter(F.col(ref).isNotNull()).groupBy(F.col(child_id).alias("child_id"), F.col(ref).alias("_ref"), F.coalesce(F.col(loaded_us), F.lit(_NEVER)).alias("_seen"), F.col(period).alias("period")).agg(F.lit(0).alias("_z")).drop("_z")

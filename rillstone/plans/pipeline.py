@@ -178,14 +178,20 @@ _P4_LAST = _P4_BASE + ", la as (select * from ch qualify row_number() over (part
 P4_SQL = "with" + _P4_LAST + " select topic, actor_id, wal_file, wal_pos, wal_row from la where op <> 'd'"
 _J = "json_extract_string({a}, '$.{n}')"
 _COAL = {f: "coalesce(" + ", ".join(_J.format(a="after", n=n) for n in names) + ")" for f, names in ACTOR_FIELDS.items()}
-P4_ACTORS_SQL = "with" + _P4_LAST + " select topic, actor_id, " + ", ".join(f"{e} as {f}" for f, e in _COAL.items()) + " from la where op <> 'd'"
+P4_ACTORS_SQL = (
+    "with"
+    + _P4_LAST
+    + " select ch.topic, ch.actor_id, "
+    + ", ".join(f"max({e.replace('(after', '(ch.after')}) as {f}" for f, e in _COAL.items())
+    + " from la join ch on ch.topic = la.topic and ch.actor_id = la.actor_id and ch.wal_file = la.wal_file and ch.wal_pos = la.wal_pos and ch.wal_row = la.wal_row where la.op <> 'd' and ch.op <> 'd' group by all"
+)
 P4_MERGED_SQL = (
     "with"
     + _P4_BASE
     + """, cut as (select topic, actor_id, max((wal_file, wal_pos, wal_row)) filter (where op in ('r', 'c', 'd')) c, max((wal_file, wal_pos, wal_row)) filter (where op = 'd') g, max((wal_file, wal_pos, wal_row)) filter (where op <> 'd') s from ch group by all),
   al as (select ch.*, (wal_file, wal_pos, wal_row) q from ch join cut using (topic, actor_id) where op <> 'd' and (c is null or (wal_file, wal_pos, wal_row) >= c) and (g is null or s > g))
   select topic, actor_id, """
-    + ", ".join(f"arg_max({e}, q) filter (where op in ('r', 'c') or {e} is not null) as {f}" for f, e in _COAL.items())
+    + ", ".join(f"arg_max_null({e}, (q, {e} is not null, coalesce({e}, ''))) filter (where op in ('r', 'c') or {e} is not null) as {f}" for f, e in _COAL.items())
     + " from al group by all"
 )
 

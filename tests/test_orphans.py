@@ -20,7 +20,7 @@ def brute(children, parents):
             kind = "missing"
         elif p[1]:
             kind = "deleted"
-        elif loaded is not None and (p[0] is None or p[0] > loaded):
+        elif loaded is not None and p[0] is not None and p[0] > loaded:
             kind = "late"
         else:
             continue
