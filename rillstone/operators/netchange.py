@@ -28,8 +28,7 @@ def merge_order(log: DataFrame, partition: str, offset: str, ts: str, *, chunk_r
     A record behind a later one of its partition waits for it, which is what a heap of partition heads does. Null times
     come first.
     """
-    w = Window.partitionBy(partition).orderBy(offset).rowsBetween(Window.unboundedPreceding, 0)
-    rows = log.withColumn("pm", F.coalesce(F.max(ts).over(w), F.lit(-(2**63))))
+    rows = running(log, [offset], {"pm": ("max", F.col(ts))}, by=(partition,), chunk_rows=chunk_rows).withColumn("pm", F.coalesce("pm", F.lit(-(2**63))))
     return running(rows, ["pm", partition, offset], {"place": ("row", None)}, chunk_rows=chunk_rows)
 
 

@@ -35,15 +35,16 @@ def _chunk(df: DataFrame, first: str, cuts: list) -> DataFrame:
     return df.withColumn("_chunk", at)
 
 
-def running(df: DataFrame, order: list[str], adds: dict[str, tuple[str, Column | None]], *, cuts: list | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def running(df: DataFrame, order: list[str], adds: dict[str, tuple[str, Column | None]], *, by: tuple[str, ...] = (), cuts: list | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``df`` with running columns over the rows in ``order`` (a total order; its first column numeric and not null).
 
     Kinds: ``row`` (number from 1), ``sum`` and ``max`` up to and with the row, ``max_before`` up to the row before it,
-    ``lag`` (value of the row before). No rows give no rows. ``cuts``: from :func:`cuts_of`, found anew if not given.
+    ``lag`` (value of the row before). No rows give no rows. ``by``: columns (not null) each of whose values has an order of
+    its own, which may be as long as all rows. ``cuts``: from :func:`cuts_of`, found anew if not given.
     """
     cuts = cuts_of(df, order[0], chunk_rows) if cuts is None else cuts
     df, many = _chunk(df, order[0], cuts), bool(cuts)
-    w = Window.partitionBy("_chunk").orderBy(*order)
+    w = Window.partitionBy(*by, "_chunk").orderBy(*order)
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     local = {
         "row": lambda e: F.row_number().over(w).cast("bigint"), "sum": lambda e: F.sum(e).over(upto), "max": lambda e: F.max(e).over(upto),
@@ -52,12 +53,12 @@ def running(df: DataFrame, order: list[str], adds: dict[str, tuple[str, Column |
     out = df.withColumns({f"_l_{n}": local[k](e) for n, (k, e) in adds.items()})
     total = {"row": lambda e: F.count(F.lit(1)), "sum": lambda e: F.sum(e), "max": lambda e: F.max(e), "max_before": lambda e: F.max(e), "lag": lambda e: F.max_by(F.struct(e.alias("v")), F.struct(*order))}
     if many:
-        per = df.groupBy("_chunk").agg(*[total[k](e).alias(f"_t_{n}") for n, (k, e) in adds.items()])
-        wc = Window.orderBy("_chunk")  # one row per chunk
+        per = df.groupBy(*by, "_chunk").agg(*[total[k](e).alias(f"_t_{n}") for n, (k, e) in adds.items()])
+        wc = Window.partitionBy(*by).orderBy("_chunk") if by else Window.orderBy("_chunk")  # one row per chunk
         prior = wc.rowsBetween(Window.unboundedPreceding, -1)
         fold = {"row": F.sum, "sum": F.sum, "max": F.max, "max_before": F.max}
-        carry = per.select("_chunk", *[(F.lag(f"_t_{n}").over(wc) if k == "lag" else fold[k](f"_t_{n}").over(prior)).alias(f"_c_{n}") for n, (k, _) in adds.items()])
-        out = out.join(carry, "_chunk")
+        carry = per.select(*by, "_chunk", *[(F.lag(f"_t_{n}").over(wc) if k == "lag" else fold[k](f"_t_{n}").over(prior)).alias(f"_c_{n}") for n, (k, _) in adds.items()])
+        out = out.join(carry, [*by, "_chunk"])
     final = {}
     for n, (k, _) in adds.items():
         l, c = F.col(f"_l_{n}"), F.col(f"_c_{n}") if many else None

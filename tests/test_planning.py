@@ -29,6 +29,20 @@ def test_running_values_in_every_chunking(spark):
         assert got == want
 
 
+def test_running_values_per_group(spark):
+    rng = random.Random(8)
+    data = [(rng.choice("ab"), i, rng.choice([None, rng.randint(-9, 9)])) for i in range(150)]
+    df = spark.createDataFrame(data, "g string, o bigint, x bigint")
+    for chunk_rows in (1000, 20):
+        got = {(r.g, r.o): r for r in running(df, ["o"], {"row": ("row", None), "m": ("max", F.col("x")), "l": ("lag", F.col("x"))}, by=("g",), chunk_rows=chunk_rows).collect()}
+        for g in "ab":
+            own = [x for x in data if x[0] == g]
+            for n, (_, o, _) in enumerate(own):
+                seen = [x for _, _, x in own[: n + 1] if x is not None]
+                r = got[g, o]
+                assert (r.row, r.m, r.l) == (n + 1, max(seen) if seen else None, own[n - 1][2] if n else None)
+
+
 def test_merge_order_is_that_of_a_heap(spark):
     rng = random.Random(5)
     parts = {p: [(rng.randint(0, 50), o) for o in range(rng.randint(1, 30))] for p in range(4)}
