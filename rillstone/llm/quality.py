@@ -21,7 +21,7 @@ COMMON = {
     "de": "der die das den dem des ein eine einer einem einen und oder aber wenn von zu in im an am auf bei für mit aus als ist sind war waren sein hat haben hatte nicht kein es dies er sie wir ihr ich unser wer was wo würde konnte wird nach vor über um mehr wie man dann sich auch dass damit",
     "fr": "le la les l un une des du de d et ou mais si à en dans sur par pour avec sans est sont était être a ont avait ne pas il elle nous vous je ce cette ces qui que qu où plus n s son sa ses leur notre votre après avant puis comme au aux parce depuis",
     "es": "el la los las un una unos y o pero si de del a al en por para con sin es son era ser ha han había no se su sus este esta lo que quien como más muy nunca ya nuestro nuestra cuando donde después antes desde luego porque aunque todavía",
-    "ru": "и или но если в во на с со по из за о об от до у к для не ни это этот эта тот он она они мы вы я наш ваш что кто как где когда был была было были быть уже ещё больше чем после перед потому а его её их никто никогда то так",
+    "ru": "и или но если в во на с со по из за о об от до у к для не ни это этот эта тот он она они мы вы я наш ваш что кто как где когда был была было были быть уже ещё больше чем после перед потому а его её их никто никогда то так про без самой давно все всё как бы ли же под над при",
 }
 WORDS = frozenset(w for v in COMMON.values() for w in v.split())
 # Auxiliary and modal verbs, by which a short line without a full stop is told from a headline.
@@ -98,7 +98,7 @@ def _wrapped_run(lines: list[str], table: list[bool], i: int) -> tuple[int, int]
     width, room, k, inner = len(first), 10**9, i, False
     while k + 1 < len(lines) and not table[k + 1]:
         nxt = lines[k + 1].rstrip()
-        if not nxt or nxt[0].isspace() or _BULLET.match(nxt) or sum(c.isalnum() for c in nxt) < 0.6 * len(nxt):
+        if not nxt or nxt[0].isspace() or _BULLET.match(nxt) or sum(c.isalnum() for c in nxt) < 0.6 * len(nxt) or len(_CODE.findall(nxt)) > 0.08 * len(nxt):
             break
         fits = len(lines[k].rstrip()) + (1 if cjk else 1 + len(nxt.split(None, 1)[0]))
         w, r = max(width, len(nxt)), min(room, fits)
@@ -110,14 +110,29 @@ def _wrapped_run(lines: list[str], table: list[bool], i: int) -> tuple[int, int]
     return (k if inner and width >= 20 and (k - i >= 2 or k - i == 1 and lines[k][:1].islower()) else i), k
 
 
-def sentence(text: str, wrapped: bool = False) -> bool:
-    """Whether a unit is running sentences, by its ratios alone."""
+def periodic(lines: list[str]) -> bool:
+    """Whether neighbouring lines repeat a pattern: lengths or indentations that correlate with those two or three lines before more than with the line before, or that hardly vary."""
+    if len(lines) < 6:
+        return False
+    lengths = [len(x.rstrip()) for x in lines]
+    indents = [len(x) - len(x.lstrip()) for x in lines]
+    for values in (lengths, indents) if any(indents) else (lengths,):
+        if values is indents and min(indents) == max(indents):
+            continue
+        near = autocorrelation(values, 1)
+        if max(autocorrelation(values, 2), autocorrelation(values, 3)) > max(0.4, near + 0.3):
+            return True
+    return max(lengths) <= 100 and max(lengths) - min(lengths) <= 0.1 * max(lengths)
+
+
+def sentence(text: str, wrapped: bool = False, regular: bool = False) -> bool:
+    """Whether a unit is running sentences, by its ratios; among ``regular`` lines a short one needs a stop."""
     text = _LINK.sub(" ", text)
     visible = [c for c in text if not c.isspace()]
     if len(visible) < 12:
         return False
     commas = text.count(",") + text.count(";") + text.count("，")
-    if commas >= 4 and len(visible) < 14 * (commas + 1) and text.rstrip()[-1] not in ".!?。！？":
+    if commas >= 4 and len(visible) < (14 if commas < 8 else 26) * (commas + 1) and text.rstrip()[-1] not in ".!?。！？":
         return False  # an enumeration
     cjk = len(_CJK.findall(text))
     letters = sum(c.isalpha() for c in visible)
@@ -142,8 +157,12 @@ def sentence(text: str, wrapped: bool = False) -> bool:
     stop = text.rstrip()[-1:] in ENDS or wrapped and any(c in text for c in ".!?")
     if stop:
         return True
+    if n >= 16:
+        return True
+    if regular:
+        return False
     verb = any(w in VERBS for w in bare[1:])
-    return verb and n >= 7 or n >= 16
+    return verb and n >= 7
 
 
 def units(text: str) -> Iterator[tuple[str, str]]:
@@ -157,8 +176,15 @@ def units(text: str) -> Iterator[tuple[str, str]]:
         if lines[i] and lines[i + 1] and _aligned(marks[i], marks[i + 1], count[i], count[i + 1], lines[i].rstrip()[-1:] not in ENDS and lines[i + 1].rstrip()[-1:] not in ENDS):
             table[i] = table[i + 1] = True
     i = tried = 0
+    end, regular = 0, False
     while i < n:
         line = lines[i]
+        if i >= end:
+            # the block of lines up to the next blank one
+            end = i + 1
+            while end < n and lines[end].strip():
+                end += 1
+            regular = periodic(lines[i:end])
         if not line.strip():
             yield "blank", line
             i += 1
@@ -176,7 +202,7 @@ def units(text: str) -> Iterator[tuple[str, str]]:
             # lines of a run that was none don't begin another, so that the work stays linear
             k, tried = _wrapped_run(lines, table, i)
         unit = ("" if _CJK.search(line) else " ").join(x.strip() for x in lines[i : k + 1]) if k > i else line
-        yield ("prose" if sentence(unit, k > i) else "other"), "\n".join(lines[i : k + 1])
+        yield ("prose" if sentence(unit, k > i, regular and k == i) else "other"), "\n".join(lines[i : k + 1])
         i = k + 1
 
 
