@@ -86,6 +86,7 @@ def _same(c: Column) -> Column:
 
 _TIME, _NTZ, _DATE = T.LongType(), T.TimestampNTZType(), T.DateType()
 
+# The names are those of the message formats.
 #: Logical name -> type. Times of day are microseconds in a bigint, for the time type is off by default.
 REGISTRY: dict[str, Logical] = {
     "org.apache.kafka.connect.data.Decimal": Logical(decimal_type, _same),

@@ -545,6 +545,63 @@ def naming_adjust(spark: SparkSession, d: str) -> DataFrame:
     return _topics(spark, d).filter(F.col("topic").startswith("debezium.mysql.Shop")).select("topic", chain.namespace(ns).alias("namespace"), chain.table(name).alias("name"))
 
 
+# manifests, offsets, orders ------------------------------------------------------------------------------------------
+@query(f"with {LOG} select part, max(off) + 1 as \"next\" from log group by part")
+def src_latest_offsets(spark: SparkSession, d: str) -> DataFrame:
+    return changelog.next_offsets(_log(spark, d)).select(F.col("part").cast("bigint").alias("part"), "next")
+
+
+@query(f"with {LOG} select part, arg_min(seq, off) seq from log where op <> 'd' group by part")
+def src_first_record_probe(spark: SparkSession, d: str) -> DataFrame:
+    """Per partition the first record with a value, which tells the schema."""
+    log = _log(spark, d).filter("op <> 'd'")
+    return log.groupBy(F.col("kafka_partition").cast("bigint").alias("part")).agg(F.min_by("seq", "kafka_offset").alias("seq"))
+
+
+@query(f"with {LOG}, {_plan_sql('log')} select bid, op, count(*) n from b group by bid, op")
+def agg_op_counters(spark: SparkSession, d: str) -> DataFrame:
+    return _plan(_log(spark, d)).groupBy("bid", "op").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {_POS} select f file_path, s snapshot, row_number() over (partition by s order by f, p) pos_order, p pos from (select prv // 100 f, event_id // 500 s, prv % 100 p from ev where event_type = 'error' and prv is not null)")
+def sort_position_deletes(spark: SparkSession, d: str) -> DataFrame:
+    """Position deletes of each snapshot in the order their files hold them."""
+    from pyspark.sql import Window
+
+    e = load(spark, d, "events").select("event_id", "event_type", F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id")).alias("prv")).filter("event_type = 'error' and prv is not null")
+    rows = e.select(F.floor(F.col("prv") / 100).alias("file_path"), F.floor(F.col("event_id") / 500).alias("snapshot"), (F.col("prv") % 100).alias("pos"))
+    return rows.withColumn("pos_order", F.row_number().over(Window.partitionBy("snapshot").orderBy("file_path", "pos")).cast("bigint"))
+
+
+@query(f"with {_MAN} select f file_path, f // 5 snapshot from fi where f // 5 > 4")
+def manifest_after_sequence(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of a manifest that came after a sequence."""
+    return _changes(spark, d).filter("change = 'added' and snapshot > 4").select("file_path", "snapshot")
+
+
+@query(f"with {_MAN} select f % 8 part, count(*) files, min(f) first, max(f) last from fi group by 1")
+def group_files_by_partition(spark: SparkSession, d: str) -> DataFrame:
+    """What a rewrite may put together: files per partition."""
+    f = _changes(spark, d).filter("change = 'added'")
+    return f.groupBy((F.col("file_path") % 8).alias("part")).agg(F.count(F.lit(1)).alias("files"), F.min("file_path").alias("first"), F.max("file_path").alias("last"))
+
+
+@query(f"with {_MAN} select f file_path from fi where f % 3 = 0 and f % 6 <> 0")
+def set_dead_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files added less those added again: difference and union of sets of paths."""
+    gone = _changes(spark, d).filter("change = 'removed'").select("file_path")
+    again = gone.filter("file_path % 6 = 0").unionByName(gone.filter("file_path % 12 = 0"))
+    return gone.subtract(again)
+
+
+@query(f"with {LOG}, {_plan_sql('log')}, g as (select bid, max(ts_ms) t from b group by bid), r as (select id, v, seq from log where op <> 'd') select id, seq, v from r where seq % 7 = 3 and v > 50")
+def scan_residual_predicate(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a table's raw files under a predicate that reaches the files."""
+    table = Table.create(spark, scratch_dir(spark, "raw"), T.StructType([T.StructField("id", T.LongType(), False), T.StructField("seq", T.LongType()), T.StructField("v", T.DoubleType())]), ["id"])
+    table.append(_log(spark, d).filter("op <> 'd'").select("id", "seq", "v"))
+    return table.scan(DATA, "c2 % 7 = 3 and c3 > 50").select(F.col("c1").alias("id"), F.col("c2").alias("seq"), F.col("c3").alias("v"))
+
+
 # schemas -------------------------------------------------------------------------------------------------------------
 def _orders_table(spark: SparkSession, d: str, late: T.StructType) -> Table:
     """Half of the orders in a narrow schema, the other half after a migration."""

@@ -27,9 +27,23 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
+#: Paths handed out by :func:`scratch_dir` and not yet swept.
+_SCRATCH: list[str] = []
+
+
 def scratch_dir(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder. It stays, for results may be read from it later, until :func:`sweep`."""
+    _SCRATCH.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete what this process has written to the shared folder; frames that read from it can't be used any more. Gives the number of paths."""
+    n = len(_SCRATCH)
+    while _SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:

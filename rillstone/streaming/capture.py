@@ -26,6 +26,10 @@ from ..session import materialise
 from ..table.log import OFFSETS, TS, WAL, File, Table, part_value
 
 VERSION = "schema-version"
+#: What is counted of each record.
+COUNTS = {
+    "reads": "op = 'r'", "creates": "op = 'c'", "updates": "op = 'u'", "deletes": "op = 'd'", "truncates": "op = 't'", "out_of_order": "ts_back or wal_back", "maybe_duplicates": "dup",
+}
 
 
 def json_type(schema: dict) -> T.DataType:
@@ -54,6 +58,8 @@ class Capture:
     """
 
     def __init__(self, spark: SparkSession, topic: str, root: str, settings: Stream, *, spec: list[str] | None = None, properties: dict[str, str] | None = None):
+        #: Since the start: records by operation, records out of order, likely duplicates, commits, schema migrations.
+        self.metrics: dict[str, int] = defaultdict(int)
         self.spark, self.topic, self.table, self.settings, self.spec, self.properties = spark, topic, Table(spark, root), settings, spec, properties or {}
 
     # planning
@@ -105,9 +111,12 @@ class Capture:
         batch = materialise(batch, "micro-batch")
         plan = materialise(self.plan(batch), "plan")
         # rows per commit, version and partition: metadata of the commits
-        marks = plan.groupBy("bid", "version", "partition").agg(F.max("offset").alias("o"), F.max("ts").alias("ts"), F.max("wal").alias("wal"), F.max((F.col("op") == "t").cast("int")).alias("t")).orderBy("bid").collect()
+        marks = plan.groupBy("bid", "version", "partition").agg(F.max("offset").alias("o"), F.max("ts").alias("ts"), F.max("wal").alias("wal"), F.max((F.col("op") == "t").cast("int")).alias("t"), *[F.count_if(F.expr(c)).alias(n) for n, c in COUNTS.items()]).orderBy("bid").collect()
         if not marks:
             return 0
+        for m in marks:
+            for n in COUNTS:
+                self.metrics[n] += m[n]
         offsets, ts, wal = self.committed(), None, None
         if self.table.exists():
             ts = int(self.table.summary_of(TS) or 0) or None
@@ -142,6 +151,7 @@ class Capture:
                 else:
                     self.table.commit_files(files.get(bid, []), summary)
                 commits += 1
+                self.metrics["commits"] += 1
         return commits
 
     def _schemas(self, rows: DataFrame) -> tuple[dict, dict]:
@@ -159,6 +169,7 @@ class Capture:
             self.table = Table.create(self.spark, self.table.root, schema, keys, self.spec, {**self.properties, "schema.version": version})
         elif should_migrate(self.table.metadata().properties.get("schema.version"), version, True, True):
             self.table.evolve(schema, keys, {"schema.version": version})
+            self.metrics["schema_migrations"] += 1
         after = _field(value, "after") if any(f.get("field") == "after" for f in value.get("fields", [])) else value
         k = F.from_json(F.get_json_object("key", "$.payload"), json_type(key))
         rows = rows.withColumn("_k", F.to_json(k))

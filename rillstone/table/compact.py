@@ -200,6 +200,6 @@ def _without_empty(table: Table, files: list[File]) -> list[File]:
     """Files that hold rows: a range whose rows are all deleted leaves none."""
     if not files:
         return files
-    full = table.spark.read.parquet(*[f.path for f in files]).select(read_name().alias("n")).distinct()
+    full = table.spark.read.format(files[0].format).load([f.path for f in files]).select(read_name().alias("n")).distinct()
     names = {r.n for r in full.collect()}  # one row per file
     return [f for f in files if f.name in names]

@@ -28,6 +28,8 @@ from ..schema import evolve
 #: From the folder of one write on.
 _BELOW = r"(?:data|deletes)/[0-9a-f]{32}/.*$"
 DATA, EQ, POS = "data", "equality-deletes", "position-deletes"
+#: Property that names the format of new data files: parquet, orc, or avro where its reader is installed.
+FORMAT, FORMATS = "write.format.default", (".parquet", ".orc", ".avro")
 TS, WAL, OFFSETS, SQUASHED, SOURCE = "source-ts", "source-wal-position", "broker-offsets", "squash-snapshots-id", "source-snapshot-id"
 
 
@@ -46,6 +48,11 @@ class File:
     partition: str = ""
     keys: tuple[str, ...] = ()
     refs: tuple[str, ...] = ()
+    bytes: int = 0
+
+    @property
+    def format(self) -> str:
+        return self.path.rpartition(".")[2]
 
     @property
     def name(self) -> str:
@@ -186,14 +193,16 @@ class Table:
     def _partition(self, df: DataFrame, spec: list[str]) -> list[tuple[str, Column]]:
         return [transform(df, s) for s in spec]
 
-    def _list(self, path: str) -> list[str]:
+    def _list(self, path: str) -> list[tuple[str, int]]:
+        """Files of a write with their sizes."""
         hpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         fs = hpath.getFileSystem(self.spark._jsc.hadoopConfiguration())
         it, out = fs.listFiles(hpath, True), []
         while it.hasNext():
-            p = it.next().getPath().toString()
-            if p.endswith(".parquet"):
-                out.append(p)
+            status = it.next()
+            p = status.getPath().toString()
+            if p.endswith(FORMATS) and not p.rpartition("/")[2].startswith(("_", ".")):
+                out.append((p, status.getLen()))
         return sorted(out)
 
     def write_data(self, df: DataFrame, meta: Metadata | None = None, *, clustered: bool = False, max_records: int | None = None, by: str | None = None) -> list[File]:
@@ -205,16 +214,18 @@ class Table:
         # names of the transforms may clash with columns: partitions go by number
         out = df.select(*cols, *[c.alias(f"_p{i}") for i, (_, c) in enumerate(parts)], *([F.col(by).alias("_by")] if by else []))
         names = [*(["_by"] if by else []), *[f"_p{i}" for i in range(len(parts))]]
-        if clustered and names:
-            out = out.repartition(*names).sortWithinPartitions(*names)
+        if clustered:
+            # gathers a partition's rows and splits those of large partitions again, as sizes at run time say
+            out = out.hint("rebalance", *names)
+            out = out.sortWithinPartitions(*names) if names else out
         path = f"{self.root}/data/{uuid.uuid4().hex}"
         w = out.write
         if max_records:
             w = w.option("maxRecordsPerFile", max_records)
         if names:
             w = w.partitionBy(*names)
-        w.parquet(path)
-        return [File(p, DATA, -1, meta.spec, "/".join(x for x in p.split("/")[:-1] if x.startswith("_p"))) for p in self._list(path)]
+        w.format(meta.properties.get(FORMAT, "parquet").lower()).save(path)
+        return [File(p, DATA, -1, meta.spec, "/".join(x for x in p.split("/")[:-1] if x.startswith("_p")), bytes=n) for p, n in self._list(path)]
 
     def write_equality_deletes(self, keys: DataFrame, meta: Metadata | None = None, *, by: str | None = None) -> list[File]:
         """Write distinct keys (columns are the table's names), split by the column ``by`` if one is named."""
@@ -225,15 +236,17 @@ class Table:
         ids = [schema[c].metadata[evolve.ID] for c in names]
         out = keys.select(*[F.col(f"`{c}`").cast(schema[c].dataType).alias(f"c{i}") for c, i in zip(names, ids)], *([F.col(by).alias("_by")] if by else [])).distinct().write
         (out.partitionBy("_by") if by else out).parquet(path)
-        return [File(p, EQ, -1, meta.spec, "", tuple(f"c{i}" for i in ids)) for p in self._list(path)]
+        return [File(p, EQ, -1, meta.spec, "", tuple(f"c{i}" for i in ids), bytes=n) for p, n in self._list(path)]
 
     def write_position_deletes(self, positions: DataFrame) -> list[File]:
-        """Write (file_path, pos), sorted by both."""
+        """Write (file_path, pos), sorted by both. Only Parquet files know their rows' positions."""
         path = f"{self.root}/deletes/{uuid.uuid4().hex}"
         df = positions.select(F.col("file_path").cast("string"), F.col("pos").cast("bigint"))
         df.repartition("file_path").sortWithinPartitions("file_path", "pos").write.parquet(path)
         refs = tuple(sorted(r[0] for r in df.select("file_path").distinct().collect()))  # as many rows as files referred to
-        return [File(p, POS, -1, refs=refs) for p in self._list(path)]
+        if any(not r.endswith(".parquet") for r in refs):
+            raise ValueError("position deletes need Parquet files")
+        return [File(p, POS, -1, refs=refs, bytes=n) for p, n in self._list(path)]
 
     def append(self, df: DataFrame, summary: dict | None = None) -> Snapshot:
         return self.row_delta(df, None, None, summary)
@@ -244,8 +257,58 @@ class Table:
         Data files that position deletes point to must still be live. ``rebase=False`` asks that the head is still ``base``
         or has it among its ancestors.
         """
-        files = (self.write_data(rows) if rows is not None else []) + (self.write_equality_deletes(equality) if equality is not None else []) + (self.write_position_deletes(positions) if positions is not None else [])
-        return self.commit_files(files, summary, base=base, rebase=rebase)
+        files: list[File] = []
+        try:
+            files += self.write_data(rows) if rows is not None else []
+            files += self.write_equality_deletes(equality) if equality is not None else []
+            files += self.write_position_deletes(positions) if positions is not None else []
+            return self.commit_files(files, summary, base=base, rebase=rebase)
+        except Exception:
+            self.abort(files)
+            raise
+
+    def abort(self, files: Iterable[File]) -> None:
+        """Delete files that no commit holds."""
+        for f in files:
+            self._delete(f.path)
+
+    def _delete(self, path: str) -> None:
+        hpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        hpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hpath, False)
+
+    def unreferenced(self, older_than_ms: int) -> list[str]:
+        """Files in the table's folders that no snapshot knows and that were written before a time: what crashed writers left."""
+        used = {f.name for s in self.metadata().snapshots.values() for f in s.added}
+        out = []
+        for part in ("data", "deletes"):
+            hpath = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{part}")
+            fs = hpath.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            if not fs.exists(hpath):
+                continue
+            it = fs.listFiles(hpath, True)
+            while it.hasNext():
+                s = it.next()
+                p = s.getPath().toString()
+                m = re.search(_BELOW, p)
+                if p.endswith(FORMATS) and m and m[0] not in used and s.getModificationTime() < older_than_ms:
+                    out.append(p)
+        return sorted(out)
+
+    def clean(self, older_than_ms: int) -> int:
+        """Delete unreferenced files; gives how many."""
+        gone = self.unreferenced(older_than_ms)
+        for p in gone:
+            self._delete(p)
+        return len(gone)
+
+    def scan(self, content: str, where: str | None = None, *, after_seq: int = -1) -> DataFrame:
+        """Raw rows of the live files of one content (names as in files), of sequences after ``after_seq``, filtered by a predicate that reaches the files."""
+        meta = self.metadata()
+        files = [f for f in meta.live(meta.refs.get("main")) if f.content == content and f.seq > after_seq]
+        if not files:
+            return self.spark.createDataFrame([], "_ int").drop("_")
+        df = read_files(self.spark, files, None)
+        return df.filter(where) if where else df
 
     def commit_files(self, files: list[File], summary: dict | None = None, *, removed: Iterable[str] = (), base: int | None = None, rebase: bool = True) -> Snapshot:
         """Commit written files (see :meth:`row_delta`)."""
@@ -377,6 +440,21 @@ def _with_seq(spark: SparkSession, df: DataFrame, files: list[File]) -> DataFram
     return df.join(by, "_name")
 
 
+def read_files(spark: SparkSession, files: list[File], schema: T.StructType | None) -> DataFrame:
+    """Files of one format by their paths, with column pruning and predicates as their reader has them."""
+    r = spark.read.format(files[0].format)
+    return (r.schema(schema) if schema is not None else r).load([f.path for f in files])
+
+
+def by_partition(files: Iterable[File]) -> dict[tuple[int, str], list[File]]:
+    """Data files by spec and partition: what a rewrite may put together."""
+    out: dict[tuple[int, str], list[File]] = {}
+    for f in files:
+        if f.content == DATA:
+            out.setdefault((f.spec, f.partition), []).append(f)
+    return out
+
+
 def merge(spark: SparkSession, files: list[File], schema: T.StructType, *, positions: bool = False) -> DataFrame:
     """Rows of data files without those that equality deletes of a later sequence or position deletes hit, in ``schema``.
 
@@ -388,9 +466,12 @@ def merge(spark: SparkSession, files: list[File], schema: T.StructType, *, posit
     if not data:
         return spark.createDataFrame([], _bare(schema))
     eq, pos = [f for f in files if f.content == EQ], [f for f in files if f.content == POS]
-    rows = spark.read.schema(phys).parquet(*[f.path for f in data])
-    if eq or pos or positions:
-        rows = rows.select("*", read_name().alias("_name"), F.col("_metadata.row_index").alias("_pos"))
+    rows = None
+    for kind in sorted({f.format for f in data}):
+        part = read_files(spark, [f for f in data if f.format == kind], phys)
+        if eq or pos or positions:
+            part = part.select("*", read_name().alias("_name"), (F.col("_metadata.row_index") if kind == "parquet" else F.lit(None).cast("bigint")).alias("_pos"))
+        rows = part if rows is None else rows.unionByName(part)
     if pos:
         dead = spark.read.parquet(*[f.path for f in pos]).select(F.regexp_extract("file_path", _BELOW, 0).alias("_name"), F.col("pos").alias("_pos")).distinct()
         rows = rows.join(dead, ["_name", "_pos"], "left_anti")

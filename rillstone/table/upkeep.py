@@ -151,10 +151,8 @@ def expire(table: Table, rules: Expiration, now_ms: int | None = None) -> list[i
         return bool(gone)
 
     table.commit(edit)
-    jvm = table.spark._jvm
     for p in files:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(table.spark._jsc.hadoopConfiguration()).delete(path, False)
+        table._delete(p)
     return gone
 
 

@@ -1,6 +1,7 @@
 """Capture end to end: commits, recovery, schema changes, truncates, tombstones, streaming, configuration, topics."""
 
 import json
+import time
 from datetime import timedelta, timezone
 
 import pytest
@@ -56,6 +57,8 @@ def test_commits_of_any_size(spark, make, rows, size):
     c = make(size)
     assert c(df(spark, GOLD)) == {100: 1, 3: 4, 1: 11}[size]
     assert rows(c.table.read()) == WANT and json.loads(c.table.summary_of(OFFSETS)) == {"0": 12}
+    m = c.metrics
+    assert (m["creates"], m["updates"], m["deletes"], m["reads"], m["out_of_order"], m["maybe_duplicates"]) == (5, 4, 2, 0, 0, 0) and m["commits"] == {100: 1, 3: 4, 1: 11}[size]
 
 
 @pytest.mark.parametrize("cut", range(0, 13, 3))
@@ -132,6 +135,10 @@ def test_streaming_from_files_restarts_where_it_was(spark, make, rows, tmp_path)
         (tmp_path / "in" / name).write_text("".join(json.dumps(dict(zip(["topic", "partition", "offset", "timestamp", "key", "value"], m))) + "\n" for m in messages))
 
     put("a.json", GOLD[:6])
+    from rillstone.streaming.progress import Progress
+
+    progress = Progress()
+    spark.streams.addListener(progress)
     for name, more in (("b.json", GOLD[4:]), (None, None)):
         c = make(3)
         q = c.start(cap.read_files(spark, str(tmp_path / "in")), str(tmp_path / "check"))
@@ -140,6 +147,12 @@ def test_streaming_from_files_restarts_where_it_was(spark, make, rows, tmp_path)
         if name:
             put(name, more)
     assert rows(c.table.read()) == WANT
+    for _ in range(100):  # listeners hear of it a little later
+        if progress.counts[TOPIC]["ended"] == 2:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(progress)
+    assert progress.counts[TOPIC]["rows"] == 6 + len(GOLD[4:]) and progress.counts[TOPIC]["failures"] == 0
 
 
 def test_when_to_run_and_when_to_end():

@@ -226,3 +226,54 @@ def test_cherry_pick_moves_or_copies(spark, new, rows):
     t.append(frame(spark, [(3, "c")]))
     made = cp.cherry_pick(t, b.id)
     assert made.summary["source-snapshot-id"] == str(b.id) and len(rows(t.read())) == 3
+
+
+def test_orc_tables_and_mixed_formats(spark, tmp_path, rows):
+    t = Table.create(spark, f"file://{tmp_path}/orc", SCHEMA, ["id"], [], {"write.format.default": "ORC"})
+    a = t.append(frame(spark, [(1, "a"), (2, "b")]))
+    assert a.added[0].format == "orc" and a.added[0].bytes > 0
+    t.commit(lambda m: m.properties.update({"write.format.default": "parquet"}))
+    t.row_delta(frame(spark, [(1, "c"), (3, "d")]), keys(spark, [1]), None)
+    assert rows(t.read()) == [(1, "c"), (2, "b"), (3, "d")]
+    with pytest.raises(ValueError, match="Parquet"):
+        t.row_delta(None, None, spark.createDataFrame([(a.added[0].path, 0)], "file_path string, pos bigint"))
+    cp.compact(t, None, 2)
+    assert rows(t.read()) == [(1, "c"), (2, "b"), (3, "d")]
+
+
+def test_failed_writes_leave_no_files(spark, new, tmp_path):
+    t = new()
+    t.append(frame(spark, [(1, "a")]))
+    bad = spark.createDataFrame([("nowhere/data/x.parquet", 0)], "file_path string, pos bigint")
+    with pytest.raises(CommitConflict):
+        t.row_delta(frame(spark, [(2, "b")]), None, bad)
+    assert t.unreferenced(2**62) == []
+    t.write_data(frame(spark, [(3, "c")]))
+    assert len(t.unreferenced(2**62)) == 1 and t.unreferenced(0) == [] and t.clean(2**62) == 1 and t.read().count() == 1
+
+
+def test_raw_scans_and_groups(spark, new, rows):
+    from rillstone.table.log import by_partition
+
+    t = new(spec=["data"])
+    t.row_delta(frame(spark, [(1, "a"), (2, "b")]), keys(spark, [7, 8]), None)
+    t.row_delta(frame(spark, [(3, "a")]), keys(spark, [9]), None)
+    assert rows(t.scan(EQ)) == [(7,), (8,), (9,)] and rows(t.scan(EQ, "c1 > 7", after_seq=1)) == [(9,)] and t.scan(POS).count() == 0
+    assert sorted(len(v) for v in by_partition(t.metadata().live(2)).values()) == [1, 2]
+
+
+def test_catalog(spark, tmp_path, rows):
+    from rillstone.table.catalog import Catalog
+
+    c = Catalog(spark, f"file://{tmp_path}/lake")
+    assert c.tables("shop.public") == []
+    t = c.create("shop.public.users", SCHEMA, ["id"])
+    t.append(frame(spark, [(1, "a")]))
+    assert c.tables("shop.public") == ["shop.public.users"] and c.load("shop.public.users") is t and Catalog(spark, c.root).load("shop.public.users").read().count() == 1
+    c.view("shop.public.users")
+    assert rows(spark.sql("select * from shop_public_users")) == [(1, "a")]
+    c.drop("shop.public.users")
+    assert not c.exists("shop.public.users")
+    for bad, error in (("shop.none", FileNotFoundError), ("users", ValueError)):
+        with pytest.raises(error):
+            c.load(bad)
