@@ -15,16 +15,21 @@ def load(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+#: The folder of sessions that name none.
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    A session that names none (tests on one machine) gets a temporary folder, once, for its lifetime.
+    Only where the session names none (tests on one machine) this process makes a temporary folder, once.
     """
     there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        there = "file://" + tempfile.mkdtemp(prefix="rillstone-")
-        spark.conf.set("spark.checkpoint.dir", there)
-    return there.rstrip("/")
+    if there:
+        return there.rstrip("/")
+    if not _OWN:
+        _OWN.append("file://" + tempfile.mkdtemp(prefix="rillstone-"))
+    return _OWN[0]
 
 
 #: Paths handed out by :func:`scratch_dir` and not yet swept.

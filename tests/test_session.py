@@ -3,6 +3,13 @@ from pathlib import Path
 from rillstone import session
 
 
+class Conf:
+    """A session that names a shared folder, or none."""
+
+    def __init__(self, there):
+        self.conf = {"spark.checkpoint.dir": there}
+
+
 def test_scratch_tables_stay_until_swept(spark):
     session.sweep(spark)
     df = session.materialise(spark.range(5), "five")
@@ -11,10 +18,7 @@ def test_scratch_tables_stay_until_swept(spark):
     assert session.sweep(spark) == 1 and not path.exists() and session.sweep(spark) == 0
 
 
-def test_the_cluster_names_the_shared_folder(spark, tmp_path):
-    before = session.shared_dir(spark)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/")
-    try:
-        assert session.scratch_dir(spark, "x").startswith(f"file://{tmp_path}/x-")
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+def test_the_session_names_the_shared_folder():
+    assert session.shared_dir(Conf("hdfs://n/shared/")) == "hdfs://n/shared"
+    own = session.shared_dir(Conf(None))
+    assert own == session.shared_dir(Conf("")) and Path(own.removeprefix("file://")).is_dir()
