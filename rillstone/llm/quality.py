@@ -262,7 +262,6 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     t = F.coalesce(F.col(text_col), F.lit(""))
     words: Column = F.filter(F.split(t, r"[ \t\r\n]+"), lambda w: w != "")
     rows = docs.select(id_col, t.alias("_t"), words.alias("_w"), F.filter(F.split(t, "[\r\n]+"), lambda x: F.regexp_replace(x, r"[ \t]", "") != "").alias("_l"))
-    known = F.array(*[F.lit(w) for w in sorted(WORDS)])
     n, lines = F.size("_w"), F.size("_l")
     chars = F.length(F.regexp_replace("_t", r"[ \t\r\n]", ""))
     bare = F.transform("_w", lambda w: F.lower(F.regexp_replace(w, r"^[.,;:!?\"'()]+|[.,;:!?\"'()]+$", "")))
@@ -270,5 +269,5 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         id_col, n.cast("bigint").alias("n_words"), F.when(n > 0, chars / n).alias("mean_word_length"),
         F.when(chars > 0, F.length(F.regexp_replace("_t", r"[^!-/:-@\[-`{-~]", "")) / chars).alias("symbol_ratio"),
         F.when(lines > 0, F.size(F.filter("_l", lambda x: x.rlike(r"[.!?:;][ \t]*$"))) / lines).alias("punctuated_lines"),
-        F.when(n > 0, F.size(F.filter(bare, lambda w: F.array_contains(known, w))) / n).alias("common_words"),
+        F.when(n > 0, F.size(F.filter(bare, lambda w: w.isin(*sorted(WORDS)))) / n).alias("common_words"),
     )
