@@ -264,7 +264,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(id_col, t.alias("_t"), words.alias("_w"), F.filter(F.split(t, "[\r\n]+"), lambda x: F.regexp_replace(x, r"[ \t]", "") != "").alias("_l"))
     n, lines = F.size("_w"), F.size("_l")
     chars = F.length(F.regexp_replace("_t", r"[ \t\r\n]", ""))
-    bare = F.transform("_w", lambda w: F.lower(F.regexp_replace(w, r"^[.,;:!?\"'()]+|[.,;:!?\"'()]+$", "")))
+    bare = F.transform("_w", lambda w: F.lower(F.btrim(w, F.lit(".,;:!?\"'()"))))
     return rows.select(
         id_col, n.cast("bigint").alias("n_words"), F.when(n > 0, chars / n).alias("mean_word_length"),
         F.when(chars > 0, F.length(F.regexp_replace("_t", r"[^!-/:-@\[-`{-~]", "")) / chars).alias("symbol_ratio"),
