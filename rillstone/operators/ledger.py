@@ -154,13 +154,12 @@ def run_windows(log: list[tuple[int, int]], tables: list[str]) -> list[Item]:
 DAY = 86_400_000_000
 
 
-def _windows(spark: SparkSession, items: list[Item], first_us: int) -> DataFrame:
-    """Windows spread over the days they touch: joining on the day keeps the interval join an equi-join of any size."""
+def _windows(spark: SparkSession, items: list[Item]) -> DataFrame:
+    """Windows spread over the days they touch: joining on the day keeps the interval join an equi-join of any size. A window without beginning stands at the day of its end, to which all earlier records are put."""
     rows = [(i.item_id, i.run_id, i.low, i.high) for i in items]
     df = spark.createDataFrame(rows, "item_id string, run_id bigint, low bigint, high bigint")
-    low = F.coalesce(F.col("low"), F.lit(first_us - 1))
-    days = F.sequence(F.expr(f"floor(least(coalesce(low, {first_us - 1}), high) / {DAY})"), F.expr(f"floor(high / {DAY})"))
-    return df.select("item_id", "run_id", low.alias("low"), "high", F.explode(days).alias("day"))
+    days = F.sequence(F.expr(f"floor(least(coalesce(low, high), high) / {DAY})"), F.expr(f"floor(high / {DAY})"))
+    return df.select("item_id", "run_id", "low", "high", F.explode(days).alias("day"))
 
 
 def process(spark: SparkSession, ledger: Ledger, records: dict[str, DataFrame], owner: str, *, most: int = 10_000, seconds: float = 3600.0) -> int:
@@ -179,13 +178,11 @@ def process(spark: SparkSession, ledger: Ledger, records: dict[str, DataFrame],
         mine = [i for i in got if i.table_name == name]
         if not mine:
             continue
-        lows = [i.low for i in mine if i.low is not None]
-        first = min([*lows, *[i.high for i in mine]])
-        if len(lows) < len(mine):
-            least = rows.agg(F.min("arrived_us")).head()[0]
-            first = min(first, least if least is not None else first)
-        windows = _windows(spark, mine, first)
-        hit = rows.select("row_id", "arrived_us").withColumn("day", F.floor(F.col("arrived_us") / F.lit(DAY))).join(windows, "day").filter("arrived_us > low and arrived_us <= high")
+        day = F.floor(F.col("arrived_us") / F.lit(DAY))
+        first = [i.high // DAY for i in mine if i.low is None]
+        if first:
+            day = F.greatest(day, F.lit(min(first)).cast("bigint"))
+        hit = rows.select("row_id", "arrived_us", day.alias("day")).filter("arrived_us is not null").join(_windows(spark, mine), "day").filter("(low is null or arrived_us > low) and arrived_us <= high")
         parts.append(hit.select("run_id", F.lit(name).alias("table_name"), "row_id", "item_id"))
     out = parts[0]
     for p in parts[1:]:
