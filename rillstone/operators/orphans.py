@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Kinds of a miss, by what the probe says of a key.
 KINDS = ("missing", "deleted", "late")
+#: Ranges at most, so that finding a key's range stays small generated code; beyond 512 times ``range_keys`` parents the ranges grow (a billion parents make ranges of two million keys, 35 MB).
+MOST_RANGES = 512
 _NEVER = 2**63 - 1
 
 
@@ -68,7 +70,7 @@ def orphans(children: DataFrame, parents: DataFrame, child_id: str, ref: str, lo
     """
     refs = children.filter(F.col(ref).isNotNull()).groupBy(F.col(child_id).alias("child_id"), F.col(ref).alias("_ref"), F.coalesce(F.col(loaded_us), F.lit(_NEVER)).alias("_seen"), F.col(period).alias("period")).agg(F.lit(0).alias("_z")).drop("_z")
     n = parents.count()
-    parts = max(1, math.ceil(n / range_keys))
+    parts = min(MOST_RANGES, max(1, math.ceil(n / range_keys)))
     cuts = [] if parts == 1 else sorted(set(parents.agg(F.percentile_approx("_key", [i / parts for i in range(1, parts)], 100 * parts)).head()[0]))
     refs = refs.withColumn("_range", _range("_ref", cuts))
     # one row per range

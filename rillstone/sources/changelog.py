@@ -31,6 +31,31 @@ def decode_json(raw: DataFrame, row: T.StructType, key: T.StructType, *, key_col
     return raw.select(*rest, F.from_json(F.col(key_col).cast("string"), key).alias("key"), v.alias("_v")).select(*rest, "key", "_v.*")
 
 
+def decode_avro(raw: DataFrame, schema: str, *, value_col: str = "value", framed: bool = True) -> DataFrame:
+    """Messages with an Avro value as columns of its record; ``framed`` values begin with a magic byte and a four-byte schema id. Needs Spark's Avro package on the class path."""
+    try:
+        from pyspark.sql.avro.functions import from_avro
+    except ImportError as e:
+        raise RuntimeError("Avro messages need Spark's Avro package") from e
+    rest = [c for c in raw.columns if c != value_col]
+    data = F.substring(value_col, 6, 2**31 - 1) if framed else F.col(value_col)
+    return raw.select(*rest, from_avro(data, schema).alias("_v")).select(*rest, "_v.*")
+
+
+#: Decoders by name, for ``key.converter`` and ``value.converter``; callers may add theirs.
+CONVERTERS = {"json": decode_json, "avro": decode_avro}
+
+
+def converter(config: dict[str, str], which: str):
+    """The decoder that a configuration names for ``key`` or ``value``, and the options under its prefix."""
+    name = config.get(f"{which}.converter", "json")
+    prefix = f"{which}.converter."
+    found = CONVERTERS.get(name) or next((f for k, f in CONVERTERS.items() if name.rpartition(".")[2].lower().startswith(k)), None)
+    if found is None:
+        raise ValueError(f"unknown converter {name!r}")
+    return found, {k.removeprefix(prefix): v for k, v in config.items() if k.startswith(prefix)}
+
+
 def schema_version(key_version, value_version):
     """The text that identifies the schemas of a message."""
     return F.format_string("key=%s,value=%s", key_version, value_version)

@@ -180,6 +180,14 @@ def test_envelopes_decode_and_tombstones_stay(spark):
     assert spark.range(1).select(changelog.schema_version(F.lit(1), F.lit(2))).first()[0] == "key=1,value=2"
 
 
+def test_converters_by_name():
+    f, options = changelog.converter({"value.converter": "any.vendor.AvroConverter", "value.converter.schema.registry.url": "http://r", "key.converter.x": "1"}, "value")
+    assert f is changelog.decode_avro and options == {"schema.registry.url": "http://r"}
+    assert changelog.converter({}, "key")[0] is changelog.decode_json
+    with pytest.raises(ValueError):
+        changelog.converter({"key.converter": "nope"}, "key")
+
+
 def test_topics_and_names(spark, rows):
     t = spark.createDataFrame([(x,) for x in ["p.a.b", "p.a.b.c", "p.a", "q.a.b", "p.x.y"]], "topic string")
     assert rows(topics.available(t, "topic", "p.", exclude=["p.x.y"])) == [("p.a.b",), ("p.a.b.c",)]
