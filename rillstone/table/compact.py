@@ -13,6 +13,7 @@ from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import evolve
 from .log import DATA, EQ, POS, SOURCE, SQUASHED, CommitConflict, File, Metadata, Snapshot, Table, merge, read_name
@@ -147,17 +148,17 @@ def cherry_pick(table: Table, snapshot: int) -> Snapshot:
 
 
 def rewrite_keys(spark: SparkSession, files: list[File], table: Table, meta: Metadata) -> list[File]:
-    """Equality deletes of one key as one set of distinct keys."""
+    """Equality deletes of one key as one set of distinct keys; keys of dropped columns in the latest schema that had them."""
     out: list[File] = []
-    schema = meta.schemas[meta.schema]
-    names = {f"c{f.metadata[evolve.ID]}": f.name for f in schema.fields}
     for keys in sorted({f.keys for f in files}):
         paths = [f.path for f in files if f.keys == keys]
-        if not all(k in names for k in keys):
-            out += [f for f in files if f.keys == keys]  # keys of dropped columns stay as they are
-            continue
-        df = spark.read.parquet(*paths).select(*[F.col(k).alias(names[k]) for k in keys])
-        out += table.write_equality_deletes(df, meta)
+        having = [n for n, s in meta.schemas.items() if set(keys) <= set(evolve.physical(s).names)]
+        own = Metadata(**meta.__dict__ | {"schema": meta.schema if meta.schema in having else max(having)})
+        schema = own.schemas[own.schema]
+        names = {f"c{f.metadata[evolve.ID]}": f.name for f in schema.fields}
+        physical = evolve.physical(schema)
+        df = spark.read.schema(T.StructType([physical[k] for k in keys])).parquet(*paths).select(*[F.col(k).alias(names[k]) for k in keys])
+        out += table.write_equality_deletes(df, own)
     return out
 
 
@@ -181,7 +182,7 @@ def compact(table: Table, low: int | None, high: int, *, max_records: int | None
         check_picks([meta.snapshots[i] for i in reversed(chain[: chain.index(high)])], {f.path for f in added if f.content == DATA})
     new: list[File] = []
     if any(f.content == DATA for f in added):
-        rows = merge(table.spark, added, meta.schemas[top.schema])
+        rows = merge(table.spark, added, meta.schemas[top.schema], meta.schemas)
         at = _at(meta, top)
         at.spec = next(f.spec for f in added if f.content == DATA)
         new += table.write_data(rows, at, clustered=True, max_records=max_records)

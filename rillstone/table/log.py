@@ -402,7 +402,7 @@ class Table:
         files = meta.live(snap)
         if partitions is not None:
             files = [f for f in files if f.content != DATA or f.partition in partitions]
-        return merge(self.spark, files, schema)
+        return merge(self.spark, files, schema, meta.schemas)
 
     def summary_of(self, key: str) -> str | None:
         """The latest value that a snapshot of the main branch carries for a key."""
@@ -455,10 +455,12 @@ def by_partition(files: Iterable[File]) -> dict[tuple[int, str], list[File]]:
     return out
 
 
-def merge(spark: SparkSession, files: list[File], schema: T.StructType, *, positions: bool = False) -> DataFrame:
+def merge(spark: SparkSession, files: list[File], schema: T.StructType, schemas: dict[int, T.StructType], *, positions: bool = False) -> DataFrame:
     """Rows of data files without those that equality deletes of a later sequence or position deletes hit, in ``schema``.
 
-    ``positions`` adds _name and _pos of each row. Columns that a file lacks are null; narrower types are widened.
+    ``schemas``: all of the table's, for deletes whose key columns ``schema`` has no more: these are read along until the
+    deletes are applied. ``positions`` adds _name and _pos of each row. Columns that a file lacks are null; narrower types
+    are widened.
     """
     data = [f for f in files if f.content == DATA]
     logical = [F.col(f"c{f.metadata[evolve.ID]}").cast(_bare(f.dataType)).alias(f.name) for f in schema.fields]
@@ -466,6 +468,9 @@ def merge(spark: SparkSession, files: list[File], schema: T.StructType, *, posit
     if not data:
         return spark.createDataFrame([], _bare(schema))
     eq, pos = [f for f in files if f.content == EQ], [f for f in files if f.content == POS]
+    # of a dropped column the latest type, which is the widest
+    types = {x.name: x for n in sorted(schemas) for x in evolve.physical(schemas[n]).fields} | {x.name: x for x in phys.fields}
+    phys = T.StructType([*phys.fields, *[types[k] for k in sorted({k for f in eq for k in f.keys} - set(phys.names))]])
     rows = None
     for kind in sorted({f.format for f in data}):
         part = read_files(spark, [f for f in data if f.format == kind], phys)
@@ -479,10 +484,6 @@ def merge(spark: SparkSession, files: list[File], schema: T.StructType, *, posit
         rows = _with_seq(spark, rows, data)
         for keys in sorted({f.keys for f in eq}):
             own = [f for f in eq if f.keys == keys]
-            types = {x.name: x.dataType for x in phys.fields}
-            # keys whose column was dropped since can't be told apart any more: such deletes were final when written
-            if not all(k in types for k in keys):
-                continue
-            d = spark.read.schema(T.StructType([T.StructField(k, types[k]) for k in keys])).parquet(*[f.path for f in own]).select("*", read_name().alias("_name"))
+            d = spark.read.schema(T.StructType([types[k] for k in keys])).parquet(*[f.path for f in own]).select("*", read_name().alias("_name"))
             rows = apply_equality_deletes(rows, _with_seq(spark, d, own).select(*keys, "_seq"), list(keys), "_seq")
     return rows.select(*logical, *([F.col("_name"), F.col("_pos")] if positions else []))
