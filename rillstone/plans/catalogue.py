@@ -5,6 +5,7 @@ The change log is derived from ``events``: an error deletes a user's row, the ne
 
 from __future__ import annotations
 
+from collections import defaultdict
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +17,11 @@ from ..functions import logical, time, transforms, wal
 from ..operators import netchange
 from ..operators.scan import cuts_of, running
 from ..schema import derive, evolve
-from ..session import load, micros, scratch_dir
+from ..session import load, materialise, micros, scratch_dir
 from ..sources import changelog, topics
 from ..streaming.capture import Capture
 from ..table import compact, upkeep
-from ..table.log import DATA, TS, Metadata, Snapshot, Table
+from ..table.log import DATA, SOURCE, SQUASHED, TS, Metadata, Snapshot, Table, part_value
 
 SIZE = 1000
 NOW = datetime(2024, 2, 10, 12, 14, 16, tzinfo=timezone.utc)
@@ -346,24 +347,34 @@ def compaction_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def cherrypick_chain(spark: SparkSession, d: str) -> DataFrame:
-    """A table of three days' snapshots, the first two compacted and the third picked anew: its chain with what each snapshot came from."""
-    table = _state_table(spark, d, 3)
-    chain = table.metadata().ancestors(table.metadata().refs["main"])[::-1]
-    compact.compact(table, None, chain[1].id)
+    """The whole log as a table; of every three days the batches of the first two compacted, oldest first, and each time all later snapshots picked anew: its chain with what each snapshot came from. Other rows than before are an error."""
+    table, days = _state_table(spark, d)
+    before = table.metadata().refs.get("main")
+    for k in range(0, len(days), 3):
+        own, meta = {i for day in days[k : k + 2] for i in day}, table.metadata()
+        run = [s for s in meta.ancestors(meta.refs["main"]) if int(s.summary.get(SOURCE, s.id)) in own][::-1]
+        if len(run) > 1:
+            compact.compact(table, run[0].parent, run[-1].id)
     meta = table.metadata()
-    rows = [(s.id, s.parent, s.op, s.summary.get("source-snapshot-id"), s.summary.get("squash-snapshots-id")) for s in meta.ancestors(meta.refs["main"])]
+    old, new = table.read(before), table.read()
+    if before is not None and not old.exceptAll(new).unionByName(new.exceptAll(old)).isEmpty():
+        raise RuntimeError("the table's rows are others after the compactions")
+    rows = [(s.id, s.parent, s.op, s.summary.get(SOURCE), s.summary.get(SQUASHED)) for s in meta.ancestors(meta.refs.get("main"))]
     return spark.createDataFrame(rows, "id bigint, parent bigint, op string, picked_from string, squashed string")
 
 
-def _state_table(spark: SparkSession, d: str, days: int) -> Table:
-    """The log's last batches per day as a table, a commit a day."""
-    net = _net(spark, d)
+def _state_table(spark: SparkSession, d: str) -> tuple[Table, list[list[int]]]:
+    """The log as a table, a commit per batch, and the snapshots of each day in order. As in a capture, one job writes the files of all commits."""
+    net = materialise(_net(spark, d).select("bid", "dt", "ts_ms", "id", "v", "eq", "survives"), "net")
     table = Table.create(spark, scratch_dir(spark, "table"), T.StructType([T.StructField("id", T.LongType(), False), T.StructField("v", T.DoubleType())]), ["id"])
-    first = [r.dt for r in net.select("dt").distinct().orderBy("dt").limit(days).collect()]
-    for day in first:
-        own = net.filter(F.col("dt") == day)
-        table.row_delta(own.filter("survives = 1").select("id", "v"), own.filter("eq = 1").select("id"), None, {TS: str(int(datetime(day.year, day.month, day.day, tzinfo=timezone.utc).timestamp() * 1000))})
-    return table
+    files: dict[int, list] = defaultdict(list)
+    written = table.write_data(net.filter("survives = 1").select("id", "v", "bid"), clustered=True, by="bid")
+    for f in [*written, *table.write_equality_deletes(net.filter("eq = 1").select("id", "bid"), by="bid")]:
+        files[int(part_value(f))].append(f)
+    days: dict = defaultdict(list)
+    for r in net.groupBy("bid").agg(F.max("dt").alias("dt"), F.max("ts_ms").alias("t")).orderBy("bid").collect():  # one row per commit
+        days[r.dt].append(table.commit_files(files[r.bid], {TS: str(r.t)}).id)
+    return table, list(days.values())
 
 
 @query(
