@@ -133,28 +133,29 @@ P3_REPORT_SQL = f"select child_table, kind, period, count(*) cases, count(distin
 ACTOR_FIELDS = {"first_name": ["first_name", "forename"], "last_name": ["last_name", "surname"], "last_update": ["last_update"]}
 
 
-def _actor_changes(spark: SparkSession, d: str, with_fields: bool) -> DataFrame:
+#: Values of the fields where every change sets the whole row.
+WHOLE_ROW = {f: ("coalesce(" + ", ".join(f"doc.`{n}`" for n in names) + ")", "true") for f, names in ACTOR_FIELDS.items()}
+
+
+def _actor_changes(spark: SparkSession, d: str) -> DataFrame:
     raw = load(spark, d, "change_feed").filter(F.col("topic").isin(ACTOR_TOPICS))
     m = feed.messages(raw, ["actor_id"])
     m = m.withColumn("seq", F.struct(F.coalesce("file_no", F.lit(0)).alias("wal_file"), F.coalesce("lsn", "pos").alias("wal_pos"), F.coalesce("row_no", F.lit(0)).alias("wal_row")))
     m = m.filter("entity_id is not null and seq.wal_pos is not null")
-    if not with_fields:
-        return m.select("topic", F.col("entity_id").alias("actor_id"), "seq", "op")
     names = [n for v in ACTOR_FIELDS.values() for n in v]
     doc = F.from_json("after", ", ".join(f"`{n}` string" for n in names))
     return m.select("topic", F.col("entity_id").alias("actor_id"), "seq", "op", doc.alias("doc"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Actors that exist at the end, with the position of the change that made their row."""
-    now = lww.apply_changes(_actor_changes(spark, d, False), ["topic", "actor_id"], "seq", "op", {}, replace_ops=["r", "c", "u"], patch_ops=[], delete_ops=["d"])
-    return now.select("topic", "actor_id", "last_change.*")
+    """Actors that exist at the end, with the position of the change that made their row: the latest of those that set its fields."""
+    now = lww.apply_changes(_actor_changes(spark, d), ["topic", "actor_id"], "seq", "op", WHOLE_ROW, replace_ops=["r", "c", "u"], patch_ops=[], delete_ops=["d"], positions=True)
+    return now.select("topic", "actor_id", F.greatest(*[f"{f}_at" for f in ACTOR_FIELDS]).alias("at")).select("topic", "actor_id", "at.*")
 
 
 def p4_actors(spark: SparkSession, d: str) -> DataFrame:
     """The current actors with their fields: r, c and u set the whole row, so that a field left out is null."""
-    fields = {f: ("coalesce(" + ", ".join(f"doc.`{n}`" for n in names) + ")", "true") for f, names in ACTOR_FIELDS.items()}
-    now = lww.apply_changes(_actor_changes(spark, d, True), ["topic", "actor_id"], "seq", "op", fields, replace_ops=["r", "c", "u"], patch_ops=[], delete_ops=["d"])
+    now = lww.apply_changes(_actor_changes(spark, d), ["topic", "actor_id"], "seq", "op", WHOLE_ROW, replace_ops=["r", "c", "u"], patch_ops=[], delete_ops=["d"])
     return now.select("topic", "actor_id", *ACTOR_FIELDS)
 
 
@@ -164,7 +165,7 @@ def p4_merged_actors(spark: SparkSession, d: str) -> DataFrame:
     for f, names in ACTOR_FIELDS.items():
         value = "coalesce(" + ", ".join(f"doc.`{n}`" for n in names) + ")"
         fields[f] = (value, f"{value} is not null")
-    now = lww.apply_changes(_actor_changes(spark, d, True), ["topic", "actor_id"], "seq", "op", fields, replace_ops=["r", "c"], patch_ops=["u"], delete_ops=["d"])
+    now = lww.apply_changes(_actor_changes(spark, d), ["topic", "actor_id"], "seq", "op", fields, replace_ops=["r", "c"], patch_ops=["u"], delete_ops=["d"])
     return now.select("topic", "actor_id", *ACTOR_FIELDS)
 
 
