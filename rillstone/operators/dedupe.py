@@ -20,9 +20,10 @@ def frequency(messages: DataFrame, ident: list[str], arrived: str, tie: str) ->
     return messages.groupBy(*ident).agg(F.count(F.lit(1)).alias("_copies"), F.min(F.struct(F.col(arrived).isNull().alias("_late"), arrived, tie)).alias("_first"))
 
 
-def _ranked(messages: DataFrame, ident: list[str], arrived: str, tie: str, group_rows: int) -> DataFrame:
-    """Rows of repeated identifiers with ``_extra``: whether an earlier copy exists."""
-    keep = list(dict.fromkeys([*ident, arrived, tie]))
+def _ranked(messages: DataFrame, ident: list[str], arrived: str, tie: str, group_rows: int, carry: list[str] | None = None) -> DataFrame:
+    """Rows of repeated identifiers, of which ``tie`` or the columns ``carry``, with ``_extra``: whether an earlier copy exists."""
+    carry = carry or [tie]
+    keep = list(dict.fromkeys([*ident, arrived, tie, *carry]))
     rows = messages.select(*keep)
     often = frequency(rows, ident, arrived, tie).filter("_copies > 1").select(*[F.col(c).alias(f"_id_{c}") for c in ident], "_copies")
     salts = F.greatest(F.ceil(F.col("_copies") / group_rows), F.lit(1)).cast("bigint")
@@ -30,10 +31,10 @@ def _ranked(messages: DataFrame, ident: list[str], arrived: str, tie: str, group
     rows = rows.join(often, same).select(*keep, F.pmod(F.xxhash64(tie), salts).alias("_salt"), (F.col("_copies") > group_rows).alias("_hot"))
     order = [F.col(arrived).asc_nulls_last(), F.col(tie).asc_nulls_last()]
     local = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*ident, "_salt").orderBy(*order)))
-    calm = local.filter(~F.col("_hot")).select(tie, (F.col("_r") > 1).alias("_extra"))
-    beaten = local.filter(F.col("_hot") & (F.col("_r") > 1)).select(tie, F.lit(True).alias("_extra"))
+    calm = local.filter(~F.col("_hot")).select(*carry, (F.col("_r") > 1).alias("_extra"))
+    beaten = local.filter(F.col("_hot") & (F.col("_r") > 1)).select(*carry, F.lit(True).alias("_extra"))
     final = local.filter(F.col("_hot") & (F.col("_r") == 1)).withColumn("_f", F.row_number().over(Window.partitionBy(*ident).orderBy(*order)))
-    return calm.unionByName(beaten).unionByName(final.select(tie, (F.col("_f") > 1).alias("_extra")))
+    return calm.unionByName(beaten).unionByName(final.select(*carry, (F.col("_f") > 1).alias("_extra")))
 
 
 def extra_copies(messages: DataFrame, ident: list[str], arrived: str, tie: str, *, group_rows: int = 1_000_000) -> DataFrame:
@@ -54,8 +55,15 @@ def first_arrivals(messages: DataFrame, ident: list[str], arrived: str, tie: str
 def deduplicate(stored: DataFrame, new: DataFrame | None, ident: list[str], arrived: str, tie: str, *, group_rows: int = 1_000_000) -> DataFrame:
     """All columns of exactly one row per identifier over the stored and the new messages together.
 
-    Columns that only one side has are null on the other. Extra columns may have any name that doesn't start with an
-    underscore.
+    Rows go through the aggregate and the ranking as a whole, so that ``tie`` may be null (latest of equal times) or
+    repeated: of rows equal in time and ``tie``, any one comes out. Columns that only one side has are null on the other.
+    Extra columns may have any name.
     """
     both = stored if new is None else stored.unionByName(new, allowMissingColumns=True)
-    return both.join(first_arrivals(both, ident, arrived, tie, group_rows=group_rows), tie, "left_semi")
+    at = {c: f"c{i}" for i, c in reversed(list(enumerate(both.columns)))}
+    cols = [f"c{i}" for i in range(len(both.columns))]
+    rows, own, when, last = both.toDF(*cols), [at[c] for c in ident], at[arrived], at[tie]
+    # a value each instead of a struct, so that unused columns are pruned; groups of several rows are dropped
+    alone = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("_copies"), *[F.first(c).alias(c) for c in cols if c not in own]).filter("_copies = 1").select(*cols)
+    ranked = _ranked(rows, own, when, last, group_rows, cols).filter(~F.col("_extra")).select(*cols)
+    return alone.unionByName(ranked).toDF(*both.columns)
