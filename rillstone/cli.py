@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import argparse
 import time
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .config import Config, load_config
 from .sources import topics
-from .streaming.capture import Capture, read_files, read_kafka
-from .table.log import Table
+from .streaming.capture import Capture, can_end, latest_offsets, read_files, read_kafka, should_run
+from .table.catalog import Catalog
 from .table.upkeep import Manager
 
 
@@ -42,21 +41,34 @@ def table_paths(spark: SparkSession, names: list[str], config: Config) -> dict[s
 
 
 def stream(spark: SparkSession, config: Config, source: str | None, *, forever: bool = True) -> None:
-    """Capture every topic with a query of its own; new topics are found at each examination."""
+    """Capture every topic that is due with a query of its own; new topics are found at each examination and captures that stay idle are let go.
+
+    From Kafka the included topics are captured at every examination, for what the broker holds isn't known here: without a
+    list of them there would be nothing to do, which is an error.
+    """
+    if not source and not config.source.included:
+        raise ValueError("Kafka needs the topics to capture in source.topicsIncluded; those with the prefix can't be listed")
     base = config.sink.catalog.get("warehouse", "warehouse").rstrip("/")
     running: dict = {}
+    captures: dict[str, Capture] = {}
     while True:
-        if source:
-            names = [r.topic for r in spark.read.json(source).select("topic").distinct().collect()] if Path(source).exists() else []
-        else:
-            names = config.source.included
-        for topic, path in table_paths(spark, names, config).items():
+        latest = latest_offsets(spark, source) if source else {}
+        for topic, path in table_paths(spark, list(latest) if source else config.source.included, config).items():
             old = running.get(topic)
             if old is not None and old.isActive:
                 continue
+            if topic not in captures:
+                spec = config.sink.partition_spec.get(path.rpartition("/")[2])
+                captures[topic] = Capture(spark, topic, path, config.stream, spec=spec, properties=config.sink.properties)
+            if source:
+                lag, last, now = captures[topic].lag(latest[topic]), captures[topic].last_source_ms(), int(time.time() * 1000)
+                if not should_run(lag, last, now, config.stream):
+                    if can_end(True, lag, last or 0, now, config.stream):
+                        captures.pop(topic)
+                        running.pop(topic, None)
+                    continue
             messages = read_files(spark, source) if source else read_kafka(spark, config.source.config["bootstrap.servers"], topic.replace(".", r"\."))
-            spec = config.sink.partition_spec.get(path.rpartition("/")[2])
-            running[topic] = Capture(spark, topic, path, config.stream, spec=spec, properties=config.sink.properties).start(messages, f"{base}/_checkpoints/{topic}")
+            running[topic] = captures[topic].start(messages, f"{base}/_checkpoints/{topic}")
         for q in running.values():
             q.awaitTermination()
         if not forever:
@@ -66,9 +78,9 @@ def stream(spark: SparkSession, config: Config, source: str | None, *, forever:
 
 def manage(spark: SparkSession, config: Config, *, forever: bool = True) -> None:
     """Tag, expire and compact the tables of the managed namespaces."""
-    base = Path((config.sink.base_location or config.sink.catalog.get("warehouse", "warehouse")).removeprefix("file://"))
+    catalog = Catalog(spark, config.sink.base_location or config.sink.catalog.get("warehouse", "warehouse"))
     while True:
-        tables = {f"{ns}.{p.parent.name}": Table(spark, str(p.parent)) for ns in config.manager.namespace for p in (base / ns.replace(".", "/")).glob("*/metadata")}
+        tables = {name: catalog.load(name) for ns in config.manager.namespace for name in catalog.tables(ns)}
         manager = Manager(tables, config.manager.compaction, config.manager.expiration)
         manager.examine()
         manager.lanes.close()

@@ -69,6 +69,16 @@ class Capture:
             return {}
         return {int(k): v for k, v in json.loads(self.table.summary_of(OFFSETS) or "{}").items()}
 
+    def last_source_ms(self) -> int | None:
+        """The largest source time that the table has."""
+        ts = self.table.summary_of(TS) if self.table.exists() else None
+        return int(ts) if ts not in (None, "None") else None
+
+    def lag(self, latest: dict[int, int]) -> int:
+        """Offsets that the table is behind the next ones per partition."""
+        done = self.committed()
+        return sum(max(0, n - done.get(p, 0)) for p, n in latest.items())
+
     def _position(self, v: Column) -> Column:
         if self.settings.connector == "mysql":
             return F.struct(F.coalesce(file_index(v.getField("source").getField("file")), F.lit(0)).alias("f"), v.getField("source").getField("pos").alias("p"))
@@ -203,9 +213,25 @@ def can_end(suspended: bool, lag: int, last_ms: int, now_ms: int, settings: Stre
     return suspended and lag <= 0 and now_ms - last_ms > settings.idle_timeout * 1000
 
 
+#: Messages in a folder of JSON lines.
+MESSAGES = "topic string, partition int, offset bigint, timestamp timestamp, key string, value string"
+
+
+def latest_offsets(spark: SparkSession, path: str) -> dict[str, dict[int, int]]:
+    """Per topic and partition the offset after the last in a folder of JSON lines; a folder that isn't there has none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return {}
+    out: dict[str, dict[int, int]] = defaultdict(dict)
+    rows = spark.read.schema(MESSAGES).json(path).filter("topic is not null").groupBy("topic", "partition").agg((F.max("offset") + 1).alias("n"))
+    for r in rows.collect():  # one row per topic and partition
+        out[r.topic][r.partition] = r.n or 0
+    return dict(out)
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """A stream of messages from a folder of JSON lines."""
-    return spark.readStream.schema("topic string, partition int, offset bigint, timestamp timestamp, key string, value string").json(path)
+    return spark.readStream.schema(MESSAGES).json(path)
 
 
 def read_kafka(spark: SparkSession, servers: str, pattern: str, options: dict[str, str] | None = None) -> DataFrame:
