@@ -34,6 +34,11 @@ def p10_structure(spark: SparkSession, d: str) -> DataFrame:
     return quality.structure(load(spark, d, "documents"))
 
 
+def p10_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Autocorrelations of lengths and indentations and lines with common delimiters, of every text."""
+    return quality.line_signals(load(spark, d, "documents"))
+
+
 def p10_stats(spark: SparkSession, d: str) -> DataFrame:
     """Word, symbol and line statistics of every text."""
     return quality.statistics(load(spark, d, "documents"))
@@ -49,5 +54,16 @@ select doc_id, len(w) as n_words, case when len(w) > 0 then c / len(w) end as me
   case when len(w) > 0 then len(list_filter(w, lambda x: lower(regexp_replace(x, '^[.,;:!?"''()]+|[.,;:!?"''()]+$', '', 'g')) in ({_KNOWN}))) / len(w) end as common_words
 from s"""
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_mix, p9_shares, p10_found, p10_structure, p10_stats)}
-ORACLE = {"p10_stats": P10_STATS_SQL}
+_CORRELATION = "case when n <= {lag} + 1 then 0.0 when list_max({v}) = list_min({v}) then 1.0 else cast(list_sum(list_transform(range(1, n - {lag} + 1), lambda i: cast(n * {v}[i] - {s} as hugeint) * (n * {v}[i + {lag}] - {s}))) as double) / cast(list_sum(list_transform({v}, lambda x: cast(n * x - {s} as hugeint) * (n * x - {s}))) as double) end"
+_HIGHEST = "greatest(" + ", ".join(_CORRELATION.replace("{lag}", str(k)) for k in (1, 2, 3)) + ")"
+P10_SIGNALS_SQL = rf"""
+with t as (select doc_id, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) x from documents where text <> ''),
+  l as (select doc_id, x, len(x) n, list_transform(x, lambda y: length(y)) v, list_transform(x, lambda y: length(y) - length(ltrim(y, ' ' || chr(9)))) w,
+    list_transform(x, lambda y: list_transform(['|', chr(9), ';', ',', ':', '>', '·', '/'], lambda d: length(y) - length(replace(y, d, '')))) c from t),
+  s as (select *, list_sum(v) sv, list_sum(w) sw from l),
+  h as (select doc_id, len(list_filter(range(1, n + 1), lambda i: len(list_filter(range(greatest(1, i - 3), least(n, i + 3) + 1), lambda j: j <> i and len(list_filter(range(1, 9), lambda k: c[i][k] > 0 and c[i][k] = c[j][k])) > 0)) > 0)) k from s)
+select doc_id, n as n_lines, {_HIGHEST.format(v="v", s="sv")} as line_autocorrelation, case when sw > 0 then {_HIGHEST.format(v="w", s="sw")} else 0.0 end as indent_period, k as delimited_lines from s join h using (doc_id)
+union all select doc_id, 0, 0.0, 0.0, 0 from documents where text is null or text = ''"""
+
+QUERIES = {f.__name__: f for f in (p8_ids, p9_mix, p9_shares, p10_found, p10_structure, p10_signals, p10_stats)}
+ORACLE = {"p10_signals": P10_SIGNALS_SQL, "p10_stats": P10_STATS_SQL}

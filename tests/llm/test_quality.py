@@ -88,3 +88,35 @@ def test_agrees_with_the_labels():
     got = duckdb.sql(f"select kind, text from '{d}/doc_label.parquet' join '{d}/documents.parquet' using (doc_id)").fetchall()
     right = sum(quality.is_prose(quality.measure(t)) == (k == "prose") for k, t in got)
     assert len(got) > 100 and right >= 0.98 * len(got)
+
+
+@pytest.mark.parametrize("name", ["bullets", "pipes", "tabs", "columns", "csv", "keys", "log"])
+def test_structure_tells_tables_and_lists_before_any_word_is_looked_at(monkeypatch, name):
+    monkeypatch.setitem(quality.RATIOS, "one", 100.0)  # whatever is left to the ratios is prose
+    m = quality.measure(OTHER[name])
+    assert m["table"] + m["list"] > 0.5 * m["chars"] and not quality.is_prose(m)
+
+
+@pytest.mark.parametrize("name", [k for k in PROSE if k != "ja"])
+def test_structure_leaves_prose_alone(name):
+    m = quality.measure(PROSE[name])
+    assert m["table"] + m["list"] < 0.5 * m["chars"]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no test tables")
+def test_common_words_are_one_ratio_among_several(monkeypatch):
+    import duckdb
+
+    monkeypatch.setattr(quality, "WORDS", frozenset())
+    d = "/root/testdata/sf0.1"
+    got = duckdb.sql(f"select kind, text from '{d}/doc_label.parquet' join '{d}/documents.parquet' using (doc_id)").fetchall()
+    right = sum(quality.is_prose(quality.measure(t)) == (k == "prose") for k, t in got)
+    assert right >= 0.95 * len(got)
+
+
+def test_fit_tells_lists_from_prose():
+    from rillstone.llm.fit import fit
+
+    structure, ratios = fit([("prose", EN), ("prose", PROSE["de"]), ("list", OTHER["plain list"]), ("table", OTHER["tabs"]), ("junk", OTHER["base64"])] * 4)
+    assert set(structure) == set(quality.STRUCTURE) and set(ratios) == set(quality.RATIOS)
+    assert all(v <= 0 for k, v in structure.items() if k not in ("one", "wrapped")) and ratios["stop"] > 0
