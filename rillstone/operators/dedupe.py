@@ -1,47 +1,43 @@
 """Exactly one copy of each message that was delivered at least once.
 
 Identifiers are split by their aggregated frequency. An identifier seen once needs no ranking: its only row is already
-known from the aggregate and passes directly. Only rows of repeated identifiers are shuffled again and ranked; groups
-above ``group_rows`` copies are ranked per salt first, so that even an identifier with a third of all rows is spread over
-many tasks and only the winners of the salts meet.
+known from the aggregate and passes directly. Only rows of repeated identifiers are joined with the frequencies and ranked;
+hot identifiers are salted before that join, so that even one with a third of all rows is spread over many tasks. Each part
+of a group is ranked on its own, and the best of a part is the best of its group if it equals the first arrival that the
+aggregate knows.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+from .skew import join_groups
+
 
 def frequency(messages: DataFrame, ident: list[str], arrived: str, tie: str) -> DataFrame:
     """Per identifier: its copies ``_copies`` and its first arrival ``_first`` (``arrived``, nulls last, then ``tie``); combined before the shuffle."""
-    return messages.groupBy(*ident).agg(F.count(F.lit(1)).alias("_copies"), F.min(F.struct(F.col(arrived).isNull().alias("_late"), arrived, tie)).alias("_first"))
+    return messages.groupBy(*ident).agg(F.count(F.lit(1)).alias("_copies"), F.min(F.struct(F.col(arrived).isNull().alias("_late"), arrived, F.col(tie).isNull().alias("_none"), tie)).alias("_first"))
 
 
 def _ranked(messages: DataFrame, ident: list[str], arrived: str, tie: str, group_rows: int, carry: list[str] | None = None) -> DataFrame:
-    """Rows of repeated identifiers, of which ``tie`` or the columns ``carry``, with ``_extra``: whether an earlier copy exists."""
+    """Rows of repeated identifiers, of which ``tie`` or the columns ``carry``, with ``_extra``: whether another copy is taken."""
     carry = carry or [tie]
-    keep = list(dict.fromkeys([*ident, arrived, tie, *carry]))
-    rows = messages.select(*keep)
-    often = frequency(rows, ident, arrived, tie).filter("_copies > 1").select(*[F.col(c).alias(f"_id_{c}") for c in ident], "_copies")
-    salts = F.greatest(F.ceil(F.col("_copies") / group_rows), F.lit(1)).cast("bigint")
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_id_{c}")) for c in ident])
-    rows = rows.join(often, same).select(*keep, F.pmod(F.xxhash64(tie), salts).alias("_salt"), (F.col("_copies") > group_rows).alias("_hot"))
-    order = [F.col(arrived).asc_nulls_last(), F.col(tie).asc_nulls_last()]
-    local = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*ident, "_salt").orderBy(*order)))
-    calm = local.filter(~F.col("_hot")).select(*carry, (F.col("_r") > 1).alias("_extra"))
-    beaten = local.filter(F.col("_hot") & (F.col("_r") > 1)).select(*carry, F.lit(True).alias("_extra"))
-    final = local.filter(F.col("_hot") & (F.col("_r") == 1)).withColumn("_f", F.row_number().over(Window.partitionBy(*ident).orderBy(*order)))
-    return calm.unionByName(beaten).unionByName(final.select(*carry, (F.col("_f") > 1).alias("_extra")))
+    rows = messages.select(*dict.fromkeys([*ident, arrived, tie, *carry]))
+    often = frequency(rows, ident, arrived, tie).filter("_copies > 1").select(*[F.col(c).alias(f"_id_{c}") for c in ident], "_copies", "_first")
+    joined = join_groups(rows, materialise(often, "repeated"), {c: f"_id_{c}" for c in ident}, "_copies", [tie], group_rows)
+    # rows equal in time and tie have one salt, so that exactly one of a group is first and equals the first arrival
+    w = Window.partitionBy(*ident, "_salt").orderBy(F.col(arrived).asc_nulls_last(), F.col(tie).asc_nulls_last())
+    first = F.col(arrived).eqNullSafe(F.col(f"_first.{arrived}")) & F.col(tie).eqNullSafe(F.col(f"_first.{tie}"))
+    return joined.withColumn("_r", F.row_number().over(w)).select(*carry, ((F.col("_r") > 1) | ~first).alias("_extra"))
 
 
 def extra_copies(messages: DataFrame, ident: list[str], arrived: str, tie: str, *, group_rows: int = 1_000_000) -> DataFrame:
     """``tie`` of every row other than the first arrival of its identifier.
 
     ``tie`` must be unique per row and decides between equal times; null times count as latest, null parts of an
-    identifier equal each other. No messages give no rows.
+    identifier equal each other. No messages give no rows. ``group_rows``: copies from which a group is spread.
     """
     return _ranked(messages, ident, arrived, tie, group_rows).filter("_extra").select(tie)
 

@@ -7,15 +7,22 @@ and the start of the next island the end.
 
 Entities may be hot: with ``chunks`` over 1 the order is cut at its quantiles and islands are found per entity and chunk.
 Only the first and last island of a chunk can touch another chunk, so a second, small pass stitches those edges, and no
-task ever sees more of an entity than one chunk and two rows per chunk.
+task ever sees more of an entity than one chunk and two rows per chunk. Updates are cut into as many chunks as the entity
+with the most of them needs.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import micros
+from ..session import materialise, micros
+from .skew import place, quantiles
+
+#: Rows of an entity that one window task may hold.
+CHUNK_ROWS = 1_000_000
 
 
 def _same(attr: str, hash_: str, order: str, w, stepwise: bool) -> Column:
@@ -38,14 +45,8 @@ def islands(obs: DataFrame, entity: str, order: str, attr: str, start: str, clos
     rows = obs.filter(F.col(entity).isNotNull() & F.col(order).isNotNull()).select(
         F.col(entity).alias("_e"), F.col(order).alias("_o"), F.col(order).alias("_last"), F.col(attr).alias("_a"), F.xxhash64(F.col(attr)).alias("_h"), F.col(start).alias("_s"), F.col(close).alias("_c")
     )
-    cuts = []
-    if chunks > 1:
-        got = rows.agg(F.percentile_approx("_o", [i / chunks for i in range(1, chunks)], 10_000)).head()[0]
-        cuts = sorted(set(got or []))
-    chunk = F.lit(0)
-    for cut in cuts:
-        chunk = chunk + (F.col("_o") > F.lit(cut)).cast("int")
-    rows = rows.withColumn("_k", chunk)
+    cuts = sorted(set(quantiles(rows, "_o", chunks)))
+    rows = rows.withColumn("_k", place(F.col("_o"), cuts))
 
     keys = ["_e", "_k"] if cuts else ["_e"]
     w = Window.partitionBy(*keys).orderBy("_o")
@@ -57,7 +58,8 @@ def islands(obs: DataFrame, entity: str, order: str, attr: str, start: str, clos
     wi = Window.partitionBy(*keys).orderBy("_i")
     local = local.withColumn("_n", F.lead(F.struct("_s", "_o")).over(wi))
     if cuts:
-        local = local.withColumn("_edge", (F.col("_i") == 1) | F.col("_n").isNull())
+        # read once by each half: the islands of all chunks are few beside the rows
+        local = materialise(local.withColumn("_edge", (F.col("_i") == 1) | F.col("_n").isNull()), "islands")
         inner = local.filter(~F.col("_edge"))
         we = Window.partitionBy("_e").orderBy("_o")
         glued = (F.col("_i") == 1) & _same("_a", "_h", "_o", we, stepwise)
@@ -93,13 +95,18 @@ def snapshot_history(extracts: DataFrame, entity: str, attr: str, updated: str,
     return islands(obs, entity, "_ord", attr, "_start", "_close", stepwise=True)
 
 
-def update_history(states: DataFrame, entity: str, attr: Column, updated: str, deleted: str, *, chunks: int = 32) -> DataFrame:
+def update_history(states: DataFrame, entity: str, attr: Column, updated: str, deleted: str, *, chunks: int | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Versions of the expression ``attr`` from the states of an entity in order of ``updated``.
 
     A state loaded twice counts once: of its rows the largest attribute and the latest ``deleted`` are taken. The last
     version ends at the deletion of its last state, else it is open (-1). Rows without entity or ``updated`` are left
-    out. Chunks of time keep an entity with very many states from falling to one task.
+    out. ``chunks`` of time, by default one for each ``chunk_rows`` states of the entity with the most states, keep it
+    from falling to one task; the reduced states are written once, for they are read several times.
     """
     rows = states.select(F.col(f"`{entity}`").alias(entity), attr.alias("_attr"), micros(states, updated).alias("_upd"), micros(states, deleted).alias("_del"))
     rows = rows.filter(F.col(entity).isNotNull() & F.col("_upd").isNotNull()).groupBy(entity, "_upd").agg(F.max("_attr").alias("_attr"), F.coalesce(F.max("_del"), F.lit(-1)).alias("_close"))
+    rows = materialise(rows, "states")
+    if chunks is None:
+        most = rows.groupBy(entity).count().agg(F.max("count")).head()[0] or 0
+        chunks = max(1, math.ceil(most / chunk_rows))
     return islands(rows, entity, "_upd", "_attr", "_upd", "_close", chunks=chunks)

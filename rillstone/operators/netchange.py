@@ -101,12 +101,12 @@ def summaries(log: DataFrame, net: DataFrame, partition: str, offset: str, ts: s
     counts = net.groupBy("bid").agg(F.sum("pos").alias("pos"), F.sum("eq").alias("eq"), F.sum("survives").alias("data"))
     marks = log.groupBy("bid").agg(F.count(F.lit(1)).alias("n"), F.max(ts).alias("_ts"), F.max(wal).alias("_wal"))
     per = marks.join(counts, "bid", "left")
-    upto = Window.orderBy("bid").rowsBetween(Window.unboundedPreceding, 0)  # one row per batch
-    per = per.select("bid", "n", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("pos", "eq", "data")], F.max("_ts").over(upto).alias("source_ts"), F.max("_wal").over(upto).alias("wal"))
+    per = per.select("bid", "n", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("pos", "eq", "data")], "_ts", "_wal")
+    per = running(per, ["bid"], {"source_ts": ("max", F.col("_ts")), "wal": ("max", F.col("_wal"))}).drop("_ts", "_wal")
     # a row per batch and partition it touches; the running maximum fills the others
     offs = log.groupBy("bid", F.col(partition).alias("part")).agg((F.max(offset) + 1).alias("next"))
-    grid = per.select("bid", F.explode(F.array(*[F.lit(p) for p in _parts(log, partition)])).alias("part")).join(offs, ["bid", "part"], "left")
-    grid = grid.withColumn("next", F.max("next").over(Window.partitionBy("part").orderBy("bid").rowsBetween(Window.unboundedPreceding, 0))).filter("next is not null")
+    grid = per.select("bid", F.explode(F.array(*[F.lit(p) for p in _parts(log, partition)])).alias("part")).join(offs, ["bid", "part"], "left").withColumnRenamed("next", "_next")
+    grid = running(grid, ["bid"], {"next": ("max", F.col("_next"))}, by=("part",)).drop("_next").filter("next is not null")
     text = grid.groupBy("bid").agg(F.array_sort(F.collect_list(F.struct("part", "next"))).alias("o"))
     text = text.select("bid", F.concat(F.lit("{"), F.array_join(F.transform("o", lambda x: F.concat(F.lit('"'), x["part"].cast("string"), F.lit('":'), x["next"].cast("string"))), ","), F.lit("}")).alias("offsets"))
     return per.join(text, "bid", "left")

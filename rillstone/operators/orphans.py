@@ -1,9 +1,10 @@
 """References to records that are lacking, deleted or arrive later.
 
-Parent keys are cut into ranges. Each range of parents is a sorted array, and the references of the same range are probed
-against it in vectorised batches by binary search; only misses leave the probe. A range with many references is split
-into salts, each of which gets its own copy of that range's parents, so that a task holds at most one range of parents
-and one salt of references, whatever share of all rows refers to one key.
+References are first reduced to their distinct keys, each with the earliest load of a row that refers to it; that is
+combined before the shuffle, so a key to which a third of all rows refer costs one row per task. Keys of both sides are cut
+into ranges, as many as there are tasks and more where ranges would grow beyond ``range_keys``. Each range of parents is a
+sorted array, and the keys referred to in the same range are probed against it in one vectorised batch by binary search.
+Only misses leave the probe, and are joined back to the rows that refer to them, hot keys spread over several tasks.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+from .skew import join_groups, place, quantiles
+
 #: Kinds of a miss, by what the probe says of a key.
 KINDS = ("missing", "deleted", "late")
-#: Ranges at most, so that finding a key's range stays small generated code; beyond 512 times ``range_keys`` parents the ranges grow (a billion parents make ranges of two million keys, 35 MB).
-MOST_RANGES = 512
 _NEVER = 2**63 - 1
 
 
@@ -26,20 +28,8 @@ def parent_states(parents: DataFrame, key: str, loaded_us: str, deleted: str) ->
     return rows.groupBy(F.col(key).alias("_key")).agg(F.coalesce(F.min(loaded_us), F.lit(-_NEVER)).alias("_loaded"), F.coalesce(F.bool_or(F.col(deleted).isNotNull()), F.lit(False)).alias("_gone"))
 
 
-def _range(col: str, cuts: list[int]):
-    """Number of the range of a key, by binary search over the cuts as nested conditions."""
-
-    def tree(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(col) <= F.lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(cuts))
-
-
 def _probe(key: tuple, refs, parents):
-    """Misses of one salt of one range: binary search of all its references in the sorted parents at once."""
+    """Misses of one range: binary search of all keys referred to in the sorted parents at once."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -51,13 +41,12 @@ def _probe(key: tuple, refs, parents):
     loaded = parents.column("_loaded").to_numpy()[order]
     gone = parents.column("_gone").to_numpy(zero_copy_only=False)[order]
     if len(keys) == 0:
-        kind = np.zeros(len(want), dtype=np.int32)
+        kind, since = np.zeros(len(want), dtype=np.int32), np.full(len(want), -_NEVER)
     else:
         at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-        there = keys[at] == want
-        seen = refs.column("_seen").to_numpy()
-        kind = np.where(~there, 0, np.where(gone[at], 1, np.where(loaded[at] > seen, 2, 3))).astype(np.int32)
-    out = refs.drop_columns(["_range", "_salt", "_seen"]).append_column("_kind", pa.array(kind, pa.int32()))
+        since = loaded[at]
+        kind = np.where(keys[at] != want, 0, np.where(gone[at], 1, np.where(since > refs.column("_seen").to_numpy(), 2, 3))).astype(np.int32)
+    out = refs.select(["_ref", "_copies"]).append_column("_kind", pa.array(kind, pa.int32())).append_column("_loaded", pa.array(since, pa.int64()))
     return out.filter(pc.less(out.column("_kind"), 3))
 
 
@@ -66,20 +55,23 @@ def orphans(children: DataFrame, parents: DataFrame, child_id: str, ref: str, lo
 
     ``children``: columns ``child_id``, ``ref``, ``loaded_us`` (microseconds) and ``period`` (text); rows with a null
     reference are no cases. Where a time of load is unknown on either side nothing is late. ``parents`` comes from
-    :func:`parent_states`. No parents at all make every reference missing. Repeated rows are one case.
+    :func:`parent_states`. No parents at all make every reference missing. Repeated rows are one case. ``salt_rows``: rows
+    that refer to one lacking key from which they are spread.
     """
-    refs = children.filter(F.col(ref).isNotNull()).groupBy(F.col(child_id).alias("child_id"), F.col(ref).alias("_ref"), F.coalesce(F.col(loaded_us), F.lit(_NEVER)).alias("_seen"), F.col(period).alias("period")).agg(F.lit(0).alias("_z")).drop("_z")
-    n = parents.count()
-    parts = min(MOST_RANGES, max(1, math.ceil(n / range_keys)))
-    cuts = [] if parts == 1 else sorted(set(parents.agg(F.percentile_approx("_key", [i / parts for i in range(1, parts)], 100 * parts)).head()[0]))
-    refs = refs.withColumn("_range", _range("_ref", cuts))
-    # one row per range
-    load = refs.groupBy("_range").count().select("_range", F.greatest(F.ceil(F.col("count") / salt_rows), F.lit(1)).cast("int").alias("_salts"))
-    refs = refs.join(load, "_range").withColumn("_salt", F.pmod(F.xxhash64("child_id", "_seen"), F.col("_salts")).cast("int")).select("child_id", "_ref", "_seen", "period", "_range", "_salt")
-    sides = parents.withColumn("_range", _range("_key", cuts)).join(load, "_range").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).select("_key", "_loaded", "_gone", "_range", "_salt")
-    misses = refs.groupBy("_range", "_salt").cogroup(sides.groupBy("_range", "_salt")).applyInArrow(_probe, "child_id bigint, _ref bigint, period string, _kind int")
+    refs = children.filter(F.col(ref).isNotNull()).select(F.col(child_id).alias("child_id"), F.col(ref).cast("bigint").alias("_ref"), F.coalesce(F.col(loaded_us), F.lit(_NEVER)).alias("_seen"), F.col(period).alias("period"))
+    # both sides are read twice, to find the ranges and to probe; one row per key
+    keys = materialise(refs.groupBy("_ref").agg(F.min("_seen").alias("_seen"), F.count(F.lit(1)).alias("_copies")), "references")
+    parents = materialise(parents, "parents")
+    every = keys.select("_ref").unionByName(parents.select(F.col("_key").alias("_ref")))
+    parts = max(children.sparkSession.sparkContext.defaultParallelism, math.ceil(every.count() / range_keys))
+    cuts = sorted(set(quantiles(every, "_ref", parts)))
+    probed = keys.withColumn("_range", place(F.col("_ref"), cuts)).groupBy("_range").cogroup(parents.withColumn("_range", place(F.col("_key"), cuts)).groupBy("_range"))
+    misses = materialise(probed.applyInArrow(_probe, "_ref bigint, _copies bigint, _kind int, _loaded bigint"), "misses").withColumnRenamed("_ref", "_key")
+    hit = join_groups(refs, misses, {"_ref": "_key"}, "_copies", ["child_id", "_seen"], salt_rows)
+    # of a key that some row refers to too early only those rows are late
+    hit = hit.filter((F.col("_kind") < 2) | (F.col("_loaded") > F.col("_seen")))
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("_kind") + 1)
-    return misses.select("child_id", F.col("_ref").alias("ref_id"), kind.alias("kind"), "period").distinct()
+    return hit.select("child_id", F.col("_ref").alias("ref_id"), kind.alias("kind"), "period").distinct()
 
 
 def report(misses: DataFrame) -> DataFrame:

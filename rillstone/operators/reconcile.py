@@ -4,12 +4,18 @@ Rows are hashed into the field of the prime 2^61 - 1 and spread over buckets. Ea
 size and to the values of its characteristic polynomial, prod (z - h), at a number of public points: a sketch whose size
 depends on the degree bound and not on the rows. The quotient of both sides' values is a rational function whose
 numerator has the rows of one side only as its roots and whose denominator those of the other. It is interpolated from
-as many points as the bound, and verified at further points; buckets that fail get twice the bound until they are
-verified. Only the rows that are roots are then fetched from either side and compared field by field.
+as many points as the bound, and verified at further points. The bound doubles until every bucket is verified: a bucket is
+tried first at the bound that the difference of its sizes asks for, and where one side has no rows all rows of the other
+are its roots. Only rows whose hashes are roots are then fetched from either side and compared field by field.
+
+A bucket holds few rows whatever the tables hold, and interpolating takes the square of its bound, so that the work grows
+with the rows and no faster with the rows that differ.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,31 +97,52 @@ def _sketch(n_points: int):
 
 
 def sketches(rows: DataFrame, n_points: int) -> DataFrame:
-    """(bucket, size, values) of one side's (bucket, h)."""
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sketch(n_points), "bucket bigint, size bigint, values array<bigint>")
-
-
-def _rank_solve(rows: list[list[int]], n: int) -> tuple[int, list[int]]:
-    """Rank and a solution (free unknowns 0) of the equations ``rows`` (n coefficients and the right side) modulo P."""
-    where, r = [], 0
-    for c in range(n):
-        k = next((i for i in range(r, len(rows)) if rows[i][c]), None)
-        if k is None:
-            continue
-        rows[r], rows[k] = rows[k], rows[r]
-        inv = pow(rows[r][c], -1, P)
-        top = rows[r] = [x * inv % P for x in rows[r]]
-        for i in range(len(rows)):
-            if i != r and (f := rows[i][c]):
-                rows[i] = [(x - f * y) % P for x, y in zip(rows[i], top)]
-        where.append(c)
-        r += 1
-        if r == len(rows):
-            break
-    x = [0] * n
-    for i, c in enumerate(where):
-        x[c] = rows[i][n]
-    return r, x
+    """(bucket, size, values) of one side's (bucket, h); as many tasks as the session's shuffles have, so that few open buckets are spread too."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket").mapInArrow(_sketch(n_points), "bucket bigint, size bigint, values array<bigint>")
+
+
+def _times(a: list[int], b: list[int]) -> list[int]:
+    """Product of two polynomials, constant first."""
+    out = [0] * (len(a) + len(b) - 1)
+    for i, x in enumerate(a):
+        if x:
+            for k, y in enumerate(b):
+                out[i + k] += x * y
+    return [x % P for x in out]
+
+
+def _trim(a: list[int]) -> list[int]:
+    while a and not a[-1]:
+        a.pop()
+    return a
+
+
+def _divide(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+    """Quotient and remainder of polynomials, constant first, ``b`` without leading zeros."""
+    a, inv, quotient = a[:], pow(b[-1], -1, P), [0] * max(0, len(a) - len(b) + 1)
+    for i in range(len(a) - len(b), -1, -1):
+        q = quotient[i] = a[i + len(b) - 1] * inv % P
+        if q:
+            for k, y in enumerate(b):
+                a[i + k] = (a[i + k] - q * y) % P
+    return quotient, _trim(a[: len(b) - 1])
+
+
+@functools.lru_cache(maxsize=8)
+def _basis(n: int) -> tuple[list[int], list[list[int]]]:
+    """The polynomial with the first ``n`` points as its roots, and per coefficient the weights of the values at the points in the polynomial through them."""
+    zs, whole = points(n), [1]
+    for z in zs:
+        whole = _times(whole, [-z % P, 1])
+    parts = []
+    for z in zs:
+        part, _ = _divide(whole, [-z % P, 1])
+        scale, v = 0, 1
+        for c in part:
+            scale, v = (scale + c * v) % P, v * z % P
+        inv = pow(scale, -1, P)
+        parts.append([c * inv % P for c in part])
+    return whole, [list(c) for c in zip(*parts)]
 
 
 def _value(poly: list[int], z: int) -> int:
@@ -129,42 +156,39 @@ def _value(poly: list[int], z: int) -> int:
 def interpolate(na: int, nb: int, va: list[int], vb: list[int], bound: int) -> tuple[list[int], list[int]] | None:
     """Monic numerator and denominator (lower coefficients) of the quotient of two characteristic polynomials, from their values at :func:`points`; None if ``bound`` is too small.
 
-    ``bound`` points fit the degrees, the rest verify. If the true degrees are smaller than the bound allows, the system is
-    singular; its rank tells by how much, and the reduced system has one solution, without common factor.
+    ``bound`` points fit the degrees, the rest verify. The polynomial through the quotients and the one with the points as
+    its roots are divided by Euclid's algorithm until the remainder has at most the numerator's degree; remainder and
+    cofactor are then numerator and denominator without common factor, if the degrees fit the bound.
     """
-    zs = points(len(va))
-    f = [a * pow(b, -1, P) % P for a, b in zip(va, vb)]
     delta = na - nb
     if abs(delta) > bound:
         return None
-    room = bound - ((bound - delta) % 2)
-    d1, d2 = (room + delta) // 2, (room - delta) // 2
-    d1, d2 = min(d1, na), min(d2, nb)
-    for _ in range(2):
-        n = d1 + d2
-        eqs = []
-        for z, q in zip(zs[: max(n, 0)], f):
-            pw, up = 1, []
-            for _k in range(max(d1, d2) + 1):
-                up.append(pw)
-                pw = pw * z % P
-            eqs.append([*up[:d1], *[(-q * y) % P for y in up[:d2]], (q * up[d2] - up[d1]) % P])
-        rank, x = _rank_solve(eqs, n)
-        if rank == n:
-            break
-        d1, d2 = d1 - (n - rank), d2 - (n - rank)
-        if d1 < 0 or d2 < 0:
-            return None
-    else:
+    zs = points(len(va))
+    f = [a * pow(b, -1, P) % P for a, b in zip(va, vb)]
+    if not bound:
+        return ([], []) if all(x == 1 for x in f) else None
+    whole, weights = _basis(bound)
+    r0, r1 = whole, _trim([sum(map(int.__mul__, f, w)) % P for w in weights])
+    t0, t1 = [], [1]
+    most = (bound + delta) // 2
+    while len(r1) - 1 > most:
+        q, rest = _divide(r0, r1)
+        step = _times(q, t1)
+        t0, t1 = t1, _trim([((t0[i] if i < len(t0) else 0) - (step[i] if i < len(step) else 0)) % P for i in range(max(len(t0), len(step)))])
+        r0, r1 = r1, rest
+    if not r1 or not t1 or len(r1) - len(t1) != delta or len(r1) - 1 > na or len(t1) - 1 > nb:
         return None
-    num, den = x[:d1], x[d1:]
+    inv = pow(t1[-1], -1, P)
+    if r1[-1] != t1[-1]:
+        return None  # both are monic
+    num, den = [x * inv % P for x in r1[:-1]], [x * inv % P for x in t1[:-1]]
     if any(_value(num, z) != q * _value(den, z) % P for z, q in zip(zs, f)):
         return None
     return num, den
 
 
 def _solve(bound: int):
-    """Per joined sketch: the polynomials of both sides, or that the bound is too small. Equal buckets yield nothing."""
+    """Per joined sketch of buckets that differ: the polynomials of both sides, or that the bound is too small."""
 
     def run(batches):
         import pyarrow as pa
@@ -172,11 +196,7 @@ def _solve(bound: int):
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                na, nb = r["na"] or 0, r["nb"] or 0
-                va, vb = r["va"] or [1] * (bound + CHECKS), r["vb"] or [1] * (bound + CHECKS)
-                if na == nb and va == vb:
-                    continue
-                got = interpolate(na, nb, va, vb, bound)
+                got = interpolate(r["na"], r["nb"], r["va"], r["vb"], bound)
                 out.append((r["bucket"], got is not None, *(got or ([], []))))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.bool_()), pa.array([x[2] for x in out], pa.list_(pa.int64())), pa.array([x[3] for x in out], pa.list_(pa.int64()))], names=["bucket", "ok", "num", "den"])
 
@@ -184,7 +204,7 @@ def _solve(bound: int):
 
 
 def _roots(batches):
-    """Rows whose hash is a root of their bucket's polynomial."""
+    """Keys of rows whose hash is a root of their bucket's polynomial."""
     import numpy as np
     import pyarrow as pa
 
@@ -201,43 +221,50 @@ def _roots(batches):
             value[on] = mulmod(value[on], h[on]) + flat[start[on] + n[on] - 1 - k]
             value[on] = np.where(value[on] >= p, value[on] - p, value[on])
         hit = pa.array((value == 0) & (n > 0))
-        yield batch.select(["bucket", "h"]).filter(hit)
+        yield batch.select(["key"]).filter(hit)
 
 
-def _hashed(rows: DataFrame, fields: list[str], buckets: int) -> DataFrame:
-    """Each row with its hash in the field and its bucket, which follows from the whole row so that one hot key is spread."""
+def _hashed(rows: DataFrame, key: str, fields: list[str], buckets: int) -> DataFrame:
+    """(key, h, bucket) of each distinct row: its hash in the field, and its bucket, which follows from the whole row so that one hot key is spread. Written once, for it is read for every bound."""
     # the null flags tell null from empty, the second seed makes bucket and hash independent
     cols = [c for f in fields for c in (F.col(f), F.col(f).isNull())]
     h = F.pmod(F.xxhash64(*cols, F.lit(17)), F.lit(2**60))
-    return rows.select("*", h.alias("_rill_h"), F.pmod(F.xxhash64(F.lit(5), *cols), F.lit(buckets)).alias("_rill_bucket"))
-
-
-def differing_rows(left: DataFrame, right: DataFrame, fields: list[str], *, bucket_rows: int = 128, bound: int = 16) -> tuple[DataFrame, DataFrame]:
-    """Rows (distinct, ``fields`` only) that the other side lacks, of the left and of the right."""
-    a, b = left.select(*fields).distinct(), right.select(*fields).distinct()
-    n = max(a.count(), b.count())
-    buckets = max(1, -(-n // bucket_rows))
-    a, b = _hashed(a, fields, buckets), _hashed(b, fields, buckets)
-    ha, hb = (materialise(x.select(F.col("_rill_bucket").alias("bucket"), F.col("_rill_h").alias("h")), "hashes") for x in (a, b))
-    solved = None
-    # open buckets; every bucket at first
-    open_: DataFrame | None = None
+    return materialise(rows.select(F.col(key).alias("key"), h.alias("h"), F.pmod(F.xxhash64(F.lit(5), *cols), F.lit(buckets)).alias("bucket")).distinct(), "hashes")
+
+
+def differing_keys(left: DataFrame, right: DataFrame, key: str, fields: list[str], *, bucket_rows: int = 128, bound: int = 16) -> DataFrame:
+    """(key), distinct: keys of rows (``fields``, with the key) that only one side has."""
+    buckets = max(1, -(-max(left.count(), right.count()) // bucket_rows))
+    a, b = _hashed(left, key, fields, buckets), _hashed(right, key, fields, buckets)
+    sizes = [x.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")) for x in (a, b)]
+    size = sizes[0].withColumnRenamed("size", "na").join(sizes[1].withColumnRenamed("size", "nb"), "bucket", "full").select("bucket", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("na", "nb")])
+    size = materialise(size, "sizes")
+    # where one side has nothing all rows of the other are roots
+    lone = size.filter("na = 0 or nb = 0").select("bucket")
+    keys = [x.join(lone, "bucket", "left_semi").select("key") for x in (a, b)]
+    # the largest difference of sizes: up to twice that bound, buckets of smaller ones come first
+    least = (size.filter("na > 0 and nb > 0").agg(F.max(F.abs(F.col("na") - F.col("nb")))).head()[0]) or 0
+    open_, waits = None, size.filter("na > 0 and nb > 0").select("bucket", F.abs(F.col("na") - F.col("nb")).alias("off"))
     while True:
-        sa, sb = (sketches(x if open_ is None else x.join(open_, "bucket", "left_semi"), bound + CHECKS) for x in (ha, hb))
-        both = sa.select("bucket", F.col("size").alias("na"), F.col("values").alias("va")).join(sb.select("bucket", F.col("size").alias("nb"), F.col("values").alias("vb")), "bucket", "full")
+        # a bucket is tried once the bound holds the difference of its sizes and some rows that changed
+        now = waits.filter(F.col("off") * 5 <= 4 * bound if bound < 2 * least else F.lit(True)).select("bucket")
+        waits = waits.filter(~(F.col("off") * 5 <= 4 * bound)) if bound < 2 * least else waits.filter("false")
+        open_ = now if open_ is None else open_.unionByName(now)
+        sa, sb = (sketches(x.join(open_, "bucket", "left_semi").select("bucket", "h").distinct(), bound + CHECKS) for x in (a, b))
+        both = sa.select("bucket", F.col("size").alias("na"), F.col("values").alias("va")).join(sb.select("bucket", F.col("size").alias("nb"), F.col("values").alias("vb")), "bucket").filter("na <> nb or va <> vb")
         got = materialise(both.mapInArrow(_solve(bound), "bucket bigint, ok boolean, num array<bigint>, den array<bigint>"), "polynomials")
-        fine = got.filter("ok").select("bucket", "num", "den")
-        solved = fine if solved is None else solved.unionByName(fine)
+        fine = got.filter("ok")
+        for hashes, poly in ((a, "num"), (b, "den")):
+            roots = hashes.join(fine.select("bucket", F.col(poly).alias("poly")), "bucket").select("key", "h", "poly")
+            keys.append(roots.mapInArrow(_roots, f"key {hashes.schema['key'].dataType.simpleString()}"))
         open_ = got.filter("not ok").select("bucket")
-        if open_.isEmpty():
+        if bound >= 2 * least and open_.isEmpty():
             break
         bound *= 2
-    out = []
-    for rows, hashes, poly in ((a, ha, "num"), (b, hb, "den")):
-        roots = hashes.join(solved.select("bucket", F.col(poly).alias("poly")), "bucket").select("bucket", "h", "poly").mapInArrow(_roots, "bucket bigint, h bigint")
-        roots = roots.select(F.col("bucket").alias("_rill_bucket"), F.col("h").alias("_rill_h"))
-        out.append(rows.join(roots, ["_rill_bucket", "_rill_h"], "left_semi").select(*fields))
-    return out[0], out[1]
+    out = keys[0]
+    for k in keys[1:]:
+        out = out.unionByName(k)
+    return materialise(out.distinct(), "keys")
 
 
 def differences(left: DataFrame, right: DataFrame, key: str, fields: list[str], names: tuple[str, str], *, bucket_rows: int = 128, bound: int = 16) -> DataFrame:
@@ -248,9 +275,7 @@ def differences(left: DataFrame, right: DataFrame, key: str, fields: list[str],
     compared like any other. Two empty tables have no differences.
     """
     cols = [key, *fields]
-    da, db = differing_rows(left, right, cols, bucket_rows=bucket_rows, bound=bound)
-    keys = da.select(key).unionByName(db.select(key)).distinct().withColumnRenamed(key, "_key")
-    keys = materialise(keys, "keys")
+    keys = differing_keys(left, right, key, cols, bucket_rows=bucket_rows, bound=bound).withColumnRenamed("key", "_key")
     # fetch every row of those keys, for a key may also have rows on which both sides agree
     sides = None
     for side, rows in ((1, left), (2, right)):

@@ -1,7 +1,7 @@
 """Running values over a global order without a window that falls to one task.
 
-The order is cut into chunks at quantiles of its first column. Inside a chunk an ordinary window runs; what the chunks
-before add (a maximum, a sum, a count, the last value) is one row per chunk, scanned on its own and joined back.
+The order is cut into chunks (see :mod:`skew`), as many as the rows need. Inside a chunk an ordinary window runs; what the
+chunks before add (a maximum, a sum, a count, the last value) is one row per chunk, scanned on its own and joined back.
 """
 
 from __future__ import annotations
@@ -11,39 +11,27 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import chunk_number, chunks
+
 #: Rows that one window task may hold.
 CHUNK_ROWS = 2_000_000
 
 
-#: Points of the order that one look at the rows gives; chunks end at some of them.
-POINTS = 256
-
-
-def cuts_of(df: DataFrame, first: str, chunk_rows: int = CHUNK_ROWS) -> list:
-    """Values of ``first`` at which chunks end, none if the rows fit one. One job; the cuts serve every scan over the same order."""
-    got = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(first, [i / POINTS for i in range(1, POINTS)], 100 * POINTS).alias("at")).head()
-    parts = min(POINTS, math.ceil(got.n / chunk_rows))
-    if parts <= 1:
-        return []
-    return sorted({got.at[min(len(got.at) - 1, max(0, round(i * POINTS / parts) - 1))] for i in range(1, parts)})
-
-
-def _chunk(df: DataFrame, first: str, cuts: list) -> DataFrame:
-    at = F.lit(0)
-    for c in cuts:
-        at = at + (F.col(first) > F.lit(c)).cast("int")
-    return df.withColumn("_chunk", at)
+def cuts_of(df: DataFrame, order: str | list[str], chunk_rows: int = CHUNK_ROWS) -> list:
+    """Cuts at which chunks of the order end, none if the rows fit one. The cuts serve every scan over the same order."""
+    order = [order] if isinstance(order, str) else order
+    return chunks(df, order, math.ceil(df.count() / chunk_rows))
 
 
 def running(df: DataFrame, order: list[str], adds: dict[str, tuple[str, Column | None]], *, by: tuple[str, ...] = (), cuts: list | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """``df`` with running columns over the rows in ``order`` (a total order; its first column numeric and not null).
+    """``df`` with running columns over the rows in ``order`` (a total order of numeric columns, the first not null).
 
     Kinds: ``row`` (number from 1), ``sum`` and ``max`` up to and with the row, ``max_before`` up to the row before it,
     ``lag`` (value of the row before). No rows give no rows. ``by``: columns (not null) each of whose values has an order of
     its own, which may be as long as all rows. ``cuts``: from :func:`cuts_of`, found anew if not given.
     """
-    cuts = cuts_of(df, order[0], chunk_rows) if cuts is None else cuts
-    df, many = _chunk(df, order[0], cuts), bool(cuts)
+    cuts = cuts_of(df, order, chunk_rows) if cuts is None else cuts
+    df, many = df.withColumn("_chunk", chunk_number(order, cuts)), bool(cuts)
     w = Window.partitionBy(*by, "_chunk").orderBy(*order)
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     local = {
