@@ -42,23 +42,25 @@ def decimal_type(params: dict) -> T.DataType:
 
 
 def variable_scale_decimal(scale: Column, value: Column) -> Column:
-    """A big-endian two's-complement number of up to 15 bytes times 10^-scale, rounded half up to 18 places.
+    """A big-endian two's-complement number of any length times 10^-scale, rounded half up to 18 places; null if that is more than decimal(38, 18) holds.
 
-    The bytes are read as two limbs through their hexadecimal digits, all in the JVM.
+    The bytes are read as two limbs of 16 hexadecimal digits from the right, all in the JVM; digits before them have to be
+    nothing but sign.
     """
     digits = F.hex(value)
     negative = F.conv(F.substring(digits, 1, 1), 16, 10).cast("int") >= 8
-    wide = F.when(negative, F.lpad(digits, 32, "F")).otherwise(F.lpad(digits, 32, "0"))
-    limb = lambda at, n: F.conv(F.substring(wide, at, n), 16, 10).cast("decimal(38,0)")
-    # upper 15 digits (60 bits, below the sign digits) and lower 16 digits of at most 124 bits
-    high, low = limb(2, 15), limb(17, 16)
+    sign = F.when(negative, "F").otherwise("0")
+    wide = F.concat(F.repeat(sign, F.lit(32)), digits)
+    beyond = wide.substr(F.lit(1), F.length(wide) - 32) != F.repeat(sign, F.length(wide) - 32)
+    limb = lambda at: F.conv(F.substring(wide, at, 16), 16, 10).cast("decimal(38,0)")
+    high, low = limb(-32), limb(-16)
     two64 = F.lit("18446744073709551616").cast("decimal(38,0)")
-    n = F.when(negative, (high - F.lit("1152921504606846976").cast("decimal(38,0)")) * two64 + low).otherwise(high * two64 + low).cast("decimal(38,0)")
+    n = F.when(~beyond, F.try_add(F.try_multiply(F.when(negative, high - two64).otherwise(high), two64), low))
     # moving the decimal point of the text keeps every digit
-    plain = F.regexp_replace(n.cast("string"), "-", "")
+    plain = F.replace(n.cast("string"), F.lit("-"), F.lit(""))
     text = F.when(F.length(plain) <= scale, F.concat(F.repeat(F.lit("0"), scale - F.length(plain) + 1), plain)).otherwise(plain)
     moved = F.when(scale <= 0, F.concat(plain, F.repeat(F.lit("0"), -scale))).otherwise(F.concat(text.substr(F.lit(1), F.length(text) - scale), F.lit("."), text.substr(F.length(text) - scale + 1, scale)))
-    return F.concat(F.when(n < 0, "-").otherwise(""), moved).cast("decimal(38,18)")
+    return F.concat(F.when(n < 0, "-").otherwise(""), moved).try_cast("decimal(38,18)")
 
 
 def zoned_micros(text: Column) -> Column:

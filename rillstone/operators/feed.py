@@ -22,15 +22,15 @@ def key_number(key: Column, names: list[str]) -> Column:
     return F.coalesce(*[got[n].try_cast("decimal(38,6)").try_cast("bigint") for n in names])
 
 
-def messages(feed: DataFrame, ids: list[str] | None = None) -> DataFrame:
+def messages(feed: DataFrame, ids: list[str] | None = None, *more: str) -> DataFrame:
     """Rows of the feed with a source and a record key (no tombstones, no transaction marks), with identifier and position.
 
-    Columns: delivery_id, arrived_us, topic, op, after, file_id and those of ``IDENT``.
+    Columns: delivery_id, arrived_us, topic, op, after, file_id, those of ``IDENT`` and ``more`` of the feed's own.
     """
     names = ids or ["actor_id", "film_id"]
     rows = feed.filter(F.col("source").isNotNull() & F.col("record_key").isNotNull())
     return rows.select(
         "delivery_id", micros(feed, "arrived_at").alias("arrived_us"), "topic", "op", "after", "file_id",
         F.col("source.name").alias("src_name"), F.col("source.table").alias("src_table"), file_number(F.col("source.file")).alias("file_no"),
-        F.col("source.pos").alias("pos"), F.col("source.row").cast("bigint").alias("row_no"), F.col("source.lsn").alias("lsn"), key_number(F.col("record_key"), names).alias("entity_id"),
+        F.col("source.pos").alias("pos"), F.col("source.row").cast("bigint").alias("row_no"), F.col("source.lsn").alias("lsn"), key_number(F.col("record_key"), names).alias("entity_id"), *more,
     )

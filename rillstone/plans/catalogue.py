@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections import defaultdict
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +21,7 @@ from ..session import load, materialise, micros, scratch_dir
 from ..sources import changelog, topics
 from ..streaming.capture import Capture
 from ..table import compact, upkeep
-from ..table.log import DATA, SOURCE, SQUASHED, TS, Metadata, Snapshot, Table, part_value
+from ..table.log import DATA, SOURCE, SQUASHED, TS, Metadata, Snapshot, Table, merge, part_value
 
 SIZE = 1000
 NOW = datetime(2024, 2, 10, 12, 14, 16, tzinfo=timezone.utc)
@@ -89,9 +89,11 @@ def cdc_current_state(spark: SparkSession, d: str) -> DataFrame:
     return netchange.state(_net(spark, d), ["id"]).select("id", "seq", "v")
 
 
-@query(f"with {LOG}, {_plan_sql('log')}, {_STATE.format(q='and bid <= 5', w='and bid <= 5')}")
+@query(f"with {LOG}, {_plan_sql('log')}, {_STATE.format(q='and bid <= (select max(bid) // 2 from e)', w='and bid <= (select max(bid) // 2 from e)')}")
 def cdc_state_as_of_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    return netchange.state(_net(spark, d), ["id"], upto=5).select("id", "seq", "v")
+    """The state in the middle of the table's history."""
+    net = materialise(_net(spark, d).select("id", "seq", "v", "bid", "eq", "survives"), "net")
+    return netchange.state(net, ["id"], upto=(net.agg(F.max("bid")).head()[0] or 0) // 2).select("id", "seq", "v")
 
 
 @query(f"with {LOG}, {_plan_sql('log')} select seq, bid from b")
@@ -241,9 +243,15 @@ def mor_position_delete_scan(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(rows.filter("_pos % 5 = 0").select("_name", "_pos"), ["_name", "_pos"], "left_anti").select("o_orderkey")
 
 
-@query(f"with {LOG}, {_plan_sql('log')} select distinct id from e where eq = 1 and bid > 3 and bid <= 9")
+@query(f"with {LOG}, {_plan_sql('log')} select distinct bid // 6 rng, id from e where eq = 1")
 def mor_distinct_equality_keys(spark: SparkSession, d: str) -> DataFrame:
-    return _net(spark, d).filter("eq = 1 and bid > 3 and bid <= 9").select("id").distinct()
+    """Keys of the equality deletes of each range of six batches."""
+    return _net(spark, d).filter("eq = 1").select(_six("bid").alias("rng"), "id").distinct()
+
+
+def _six(col: str) -> Column:
+    """Number of the range of six snapshots that one is in."""
+    return F.floor(F.col(col) / 6).cast("bigint")
 
 
 _POS = """ev as (select *, lag(event_id) over (partition by user_id order by event_id) prv from events), fi as (select distinct event_id // 100 f, event_id // 500 s from events),
@@ -261,18 +269,18 @@ def _manifest(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return files, pos
 
 
-@query(f"with {_POS} select f file_path, count(*) n from po where s > 4 and s <= 10 and f not in (select f from fi where s > 4 and s <= 10) group by f")
+@query(f"with {_POS} select s // 6 rng, f file_path, count(*) n from po where not exists (select 1 from fi where fi.f = po.f and fi.s // 6 = po.s // 6) group by 1, 2")
 def validate_pos_delete_in_range(spark: SparkSession, d: str) -> DataFrame:
-    files, pos = _manifest(spark, d)
-    inside = (F.col("snapshot") > 4) & (F.col("snapshot") <= 10)
-    return compact.dangling(pos.filter(inside), files.filter(inside)).groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
+    """Of every range of six snapshots the position deletes that point out of it."""
+    files, pos = (x.withColumn("rng", _six("snapshot")) for x in _manifest(spark, d))
+    return compact.dangling(pos, files, ("rng",)).groupBy("rng", "file_path").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {_POS} select f file_path, count(*) n from po where s > 10 and f in (select f from fi where s > 4 and s <= 10 and f % 2 = 1) group by f")
+@query(f"with {_POS} select fi.s // 6 dead_in, po.f file_path, count(*) n from po join fi on fi.f = po.f and fi.f % 2 = 1 and po.s // 6 > fi.s // 6 group by 1, 2")
 def validate_dead_file_refs(spark: SparkSession, d: str) -> DataFrame:
-    files, pos = _manifest(spark, d)
-    dead = files.filter("snapshot > 4 and snapshot <= 10 and file_path % 2 = 1").select("file_path")
-    return pos.filter("snapshot > 10").join(dead, "file_path", "left_semi").groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
+    """Of every range of six snapshots, of which a compaction loses every other file, the later position deletes that point to one lost."""
+    files, pos = (x.withColumn("rng", _six("snapshot")) for x in _manifest(spark, d))
+    return compact.dead_references(pos, files.filter("file_path % 2 = 1"), "rng").groupBy(F.col("range").alias("dead_in"), "file_path").agg(F.count(F.lit(1)).alias("n"))
 
 
 _MAN = "fi as (select distinct event_id // 100 f from events), ma as (select f file_path, f // 5 s, 'added' change from fi union all select f, f // 5 + 1 + f % 7, 'removed' from fi where f % 3 = 0)"
@@ -284,11 +292,10 @@ def _changes(spark: SparkSession, d: str) -> DataFrame:
     return f.select("file_path", five.alias("snapshot"), F.lit("added").alias("change")).unionByName(f.filter("file_path % 3 = 0").select("file_path", (five + 1 + F.col("file_path") % 7).alias("snapshot"), F.lit("removed").alias("change")))
 
 
-@query(
-    f"""with {_MAN}, r as (select * from ma where s > 4 and s <= 10) select file_path, change from r a where not exists (select 1 from r b where b.file_path = a.file_path and b.change <> a.change)"""
-)
+@query(f"""with {_MAN}, r as (select *, s // 6 rng from ma) select rng, file_path, change from r a where not exists (select 1 from r b where b.rng = a.rng and b.file_path = a.file_path and b.change <> a.change)""")
 def squash_net_files(spark: SparkSession, d: str) -> DataFrame:
-    return compact.net_file_changes(_changes(spark, d), 4, 10)
+    """What every range of six snapshots adds and removes in the end."""
+    return compact.net_changes_by(_changes(spark, d).withColumn("rng", _six("snapshot")), ("rng",))
 
 
 @query(
@@ -302,14 +309,76 @@ def squash_operation(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {LOG}, {_plan_sql('log')}, {_STATE.format(q='', w='')}")
 def compacted_state_equals_state(spark: SparkSession, d: str) -> DataFrame:
-    """Batches after 3 up to 9 compacted into one that counts as the ninth, then the state."""
-    net = _net(spark, d)
-    inside = (F.col("bid") > 3) & (F.col("bid") <= 9)
-    run = net.filter(inside)
-    cols = ["id", "seq", "v", "bid", "eq", "survives"]
-    rows = netchange.state(run, ["id"]).select("id", "seq", "v", F.lit(9).cast("bigint").alias("bid"), F.lit(0).alias("eq"), F.lit(1).alias("survives"))
-    keys = run.filter("eq = 1").select("id").distinct().select("id", F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("double").alias("v"), F.lit(9).cast("bigint").alias("bid"), F.lit(1).alias("eq"), F.lit(0).alias("survives"))
-    return netchange.state(net.filter(~inside).select(*cols).unionByName(rows).unionByName(keys), ["id"]).select("id", "seq", "v")
+    """Every six batches compacted into one that counts as their last, then the state."""
+    net = materialise(_net(spark, d).select("id", "seq", "v", "bid", "eq", "survives", _six("bid").alias("rng")), "net")
+    rows = netchange.state(net, ["rng", "id"]).select("id", "seq", "v", "rng", F.lit(0).alias("eq"), F.lit(1).alias("survives"))
+    keys = net.filter("eq = 1").select("rng", "id").distinct().select("id", F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("double").alias("v"), "rng", F.lit(1).alias("eq"), F.lit(0).alias("survives"))
+    return netchange.state(rows.unionByName(keys).withColumnRenamed("rng", "bid"), ["id"]).select("id", "seq", "v")
+
+
+# tables --------------------------------------------------------------------------------------------------------------
+_ORDER = T.StructType([T.StructField("o_orderkey", T.LongType(), False), T.StructField("status", T.StringType())])
+
+
+def _orders(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "orders").select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.col("o_orderstatus").alias("status"))
+
+
+@query("select o_orderkey, o_orderstatus status from orders where o_orderkey % 5 <> 0")
+def table_position_deletes(spark: SparkSession, d: str) -> DataFrame:
+    """The orders as a table, every fifth of them deleted by its file and place there, read by merging."""
+    table = Table.create(spark, scratch_dir(spark, "positions"), _ORDER, ["o_orderkey"])
+    table.append(_orders(spark, d))
+    meta = table.metadata()
+    files = meta.live(meta.refs["main"])
+    paths = spark.createDataFrame([(f.name, f.path) for f in files], "_name string, file_path string")  # one row per file
+    dead = merge(spark, files, meta.schemas[meta.schema], meta.schemas, positions=True).filter("o_orderkey % 5 = 0").join(paths, "_name")
+    table.row_delta(None, None, dead.select("file_path", F.col("_pos").alias("pos")))
+    return table.read()
+
+
+@query("select o_orderkey, case when o_orderkey % 6 = 0 then 'X' else o_orderstatus end status from orders where o_orderkey % 3 <> 0 or o_orderkey % 6 = 0")
+def table_row_delta(spark: SparkSession, d: str) -> DataFrame:
+    """A partitioned table, of which a third is deleted by key and half of that written anew in the same commit."""
+    table = Table.create(spark, scratch_dir(spark, "delta"), _ORDER, ["o_orderkey"], ["bucket[4](o_orderkey)"])
+    o = _orders(spark, d)
+    table.append(o)
+    third = o.filter("o_orderkey % 3 = 0")
+    table.row_delta(third.filter("o_orderkey % 6 = 0").withColumn("status", F.lit("X")), third.select("o_orderkey"), None)
+    return table.read()
+
+
+@query("select o_orderkey, o_orderstatus status from orders where o_orderkey % 2 = 1")
+def table_truncate(spark: SparkSession, d: str) -> DataFrame:
+    """A table that was truncated between its two halves."""
+    table = Table.create(spark, scratch_dir(spark, "truncated"), _ORDER, ["o_orderkey"])
+    table.append(_orders(spark, d).filter("o_orderkey % 2 = 0"))
+    table.truncate()
+    table.append(_orders(spark, d).filter("o_orderkey % 2 = 1"))
+    return table.read()
+
+
+@query("select o_orderkey, o_orderstatus status from orders where not (o_orderkey % 3 = 0 and o_orderkey % 8 < 7)")
+def table_compaction(spark: SparkSession, d: str) -> DataFrame:
+    """Eight commits, each of which adds an eighth of the orders and deletes a third of the eighth before it; the third to the sixth compacted into one, the later ones picked anew."""
+    table = Table.create(spark, scratch_dir(spark, "compacted"), _ORDER, ["o_orderkey"])
+    o, ids = _orders(spark, d), []
+    for k in range(8):
+        gone = o.filter((F.col("o_orderkey") % 8 == k - 1) & (F.col("o_orderkey") % 3 == 0)).select("o_orderkey")
+        ids.append(table.row_delta(o.filter(F.col("o_orderkey") % 8 == k), gone, None).id)
+    compact.compact(table, ids[1], ids[5])
+    return table.read()
+
+
+@query("select o_orderkey, o_orderstatus status, 'tag' seen from orders where o_orderkey % 2 = 0 union all select o_orderkey, o_orderstatus, 'head' from orders where o_orderkey % 4 <> 0")
+def table_time_travel(spark: SparkSession, d: str) -> DataFrame:
+    """A table as it was at a tag, and as it is after more rows, deletes and another name of a column."""
+    table = Table.create(spark, scratch_dir(spark, "travelled"), _ORDER, ["o_orderkey"])
+    o = _orders(spark, d)
+    table.tag("even", table.append(o.filter("o_orderkey % 2 = 0")).id)
+    table.rename("status", "state")
+    table.row_delta(o.filter("o_orderkey % 2 = 1").withColumnRenamed("status", "state"), o.filter("o_orderkey % 4 = 0").select("o_orderkey"), None)
+    return table.read("even").withColumn("seen", F.lit("tag")).unionByName(table.read().withColumnRenamed("state", "status").withColumn("seen", F.lit("head")))
 
 
 # history -------------------------------------------------------------------------------------------------------------

@@ -22,11 +22,15 @@ _OWN: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) this process makes a temporary folder, once.
+    A cluster has to name one, else executors would write to disks that others can't read: that is an error. Only where
+    everything runs in this process (``local`` masters, as in tests) it makes a temporary folder, once.
     """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there.rstrip("/")
+    master = spark.conf.get("spark.master", None) or "local"
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir has to name a folder that all executors of {master} share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="rillstone-"))
     return _OWN[0]

@@ -75,16 +75,26 @@ def check_picks(later: list[Snapshot], dead: set[str]) -> None:
             raise CommitConflict(f"Cannot cherry-pick snapshot {s.id}: Found POSITION_DELETES reference to the dead files")
 
 
-def dangling(positions: DataFrame, files: DataFrame) -> DataFrame:
-    """Position deletes whose file isn't among ``files`` (both have file_path), for checks over manifests too large for the driver."""
-    return positions.join(files.select("file_path").distinct(), "file_path", "left_anti")
+def dangling(positions: DataFrame, files: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Position deletes whose file isn't among ``files`` (both have file_path), for checks over manifests too large for the driver; ``by``: columns of both that tell ranges apart, each of which has files of its own."""
+    return positions.join(files.select(*by, "file_path").distinct(), [*by, "file_path"], "left_anti")
+
+
+def dead_references(positions: DataFrame, dead: DataFrame, order: str) -> DataFrame:
+    """The check of :func:`check_picks` over frames of any size, for all ranges at once: position deletes that point to a file (file_path) that a range before theirs in ``order`` lost, with that range as ``range``."""
+    gone = dead.select(F.col(order).alias("range"), "file_path").distinct()
+    return positions.join(gone, "file_path").filter(F.col(order) > F.col("range"))
+
+
+def net_changes_by(manifest: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The same as :func:`net_files` over a manifest frame (file_path, change 'added' or 'removed'), for ranges of any size, told apart by the columns ``by``: those, file_path and change."""
+    own = manifest.groupBy(*by, "file_path").agg(F.bool_or(F.col("change") == "added").alias("_a"), F.bool_or(F.col("change") == "removed").alias("_r"))
+    return own.filter("_a <> _r").select(*by, "file_path", F.when(F.col("_a"), "added").otherwise("removed").alias("change"))
 
 
 def net_file_changes(manifest: DataFrame, low: int, high: int) -> DataFrame:
-    """The same as :func:`net_files` over a manifest frame (snapshot, file_path, change 'added' or 'removed'), for ranges of any size: file_path and change."""
-    own = manifest.filter((F.col("snapshot") > low) & (F.col("snapshot") <= high))
-    added, removed = own.filter("change = 'added'").select("file_path").distinct(), own.filter("change = 'removed'").select("file_path").distinct()
-    return added.join(removed, "file_path", "left_anti").withColumn("change", F.lit("added")).unionByName(removed.join(added, "file_path", "left_anti").withColumn("change", F.lit("removed")))
+    """:func:`net_changes_by` of the snapshots after ``low`` up to ``high`` of a manifest that also has their numbers as ``snapshot``."""
+    return net_changes_by(manifest.filter((F.col("snapshot") > low) & (F.col("snapshot") <= high)))
 
 
 def net_operation_column(all_replace, added_data, added_deletes, removed):

@@ -1,7 +1,8 @@
 """Tables as a log of snapshots over Parquet files, read by merging deletes.
 
-A table is a folder: metadata/v{n}.json, written exclusively, one after the other, and files of rows, of keys deleted by
-equality, and of positions deleted. A snapshot says which files it adds and removes; the table's content at a snapshot is
+A table is a folder: metadata/v{n}.json, written exclusively, one after the other, a manifest for each snapshot, and files of
+rows, of keys deleted by equality, and of positions deleted. A version only names its snapshots' manifests, which never
+change: a commit writes the manifests that are new and the names, and a reader keeps those it has read. A snapshot says which files it adds and removes; the table's content at a snapshot is
 the rows of the files its ancestors left, without those that a later equality delete or a position delete hits. Metadata
 is small and lives on the driver; rows never do. A commit applies an edit to the latest version and writes the next; if
 another commit came between, the edit is applied anew to what that left.
@@ -9,6 +10,7 @@ another commit came between, the edit is applied anew to what that left.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import time
@@ -30,6 +32,8 @@ _BELOW = r"(?:data|deletes)/[0-9a-f]{32}/.*$"
 DATA, EQ, POS = "data", "equality-deletes", "position-deletes"
 #: Property that names the format of new data files: parquet, orc, or avro where its reader is installed.
 FORMAT, FORMATS = "write.format.default", (".parquet", ".orc", ".avro")
+#: Property that names the size that new data files should not much exceed, in bytes as rows take them up before compression.
+TARGET = "write.target-file-size-bytes"
 TS, WAL, OFFSETS, SQUASHED, SOURCE = "source-ts", "source-wal-position", "broker-offsets", "squash-snapshots-id", "source-snapshot-id"
 
 
@@ -75,6 +79,19 @@ class Snapshot:
     removed: tuple[str, ...] = ()
 
 
+def snapshot_json(s: Snapshot) -> str:
+    """Text of a snapshot's manifest."""
+    return json.dumps(asdict(s), sort_keys=True) + "\n"
+
+
+def snapshot_of(text: str) -> Snapshot:
+    """The snapshot of a manifest."""
+    x = json.loads(text)
+    x["added"] = tuple(File(**f | {"keys": tuple(f["keys"]), "refs": tuple(f["refs"])}) for f in x["added"])
+    x["removed"] = tuple(x["removed"])
+    return Snapshot(**x)
+
+
 @dataclass
 class Metadata:
     """One version of a table's metadata."""
@@ -91,23 +108,18 @@ class Metadata:
     last_seq: int = 0
     last_snapshot: int = 0
 
-    def to_json(self) -> str:
+    def to_json(self, manifests: list[str]) -> str:
         out = {k: v for k, v in self.__dict__.items() if k not in ("schemas", "snapshots")}
         out["schemas"] = {k: s.jsonValue() for k, s in self.schemas.items()}
-        out["snapshots"] = [asdict(s) for s in self.snapshots.values()]
+        out["snapshots"] = manifests
         return json.dumps(out) + "\n"
 
     @classmethod
-    def from_json(cls, text: str) -> Metadata:
+    def from_json(cls, text: str, snapshot: Callable[[str], Snapshot]) -> Metadata:
         x = json.loads(text)
         x["schemas"] = {int(k): T.StructType.fromJson(s) for k, s in x["schemas"].items()}
         x["specs"] = {int(k): s for k, s in x["specs"].items()}
-        snaps = {}
-        for s in x["snapshots"]:
-            s["added"] = tuple(File(**f | {"keys": tuple(f["keys"]), "refs": tuple(f["refs"])}) for f in s["added"])
-            s["removed"] = tuple(s["removed"])
-            snaps[s["id"]] = Snapshot(**s)
-        x["snapshots"] = snaps
+        x["snapshots"] = {s.id: s for s in map(snapshot, x["snapshots"])}
         return cls(**x)
 
     def head(self) -> Snapshot | None:
@@ -137,6 +149,9 @@ class Table:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self.files = Files(spark, f"{self.root}/metadata")
+        #: Manifests read or written so far by name, and the name of each snapshot object among them.
+        self._manifests: dict[str, Snapshot] = {}
+        self._names: dict[int, str] = {}
 
     # metadata
     @classmethod
@@ -145,23 +160,35 @@ class Table:
         with_ids, last = evolve.assign_ids(schema, 0)
         table = cls(spark, root)
         first = Metadata({0: with_ids}, 0, last, list(keys), {0: list(spec or [])}, 0, dict(properties or {}), {}, {})
-        if table._versions() or not table.files.create(f"v{1:010d}.json", first.to_json()):
+        if table._versions() or not table.files.create(f"v{1:010d}.json", first.to_json([])):
             raise FileExistsError(root)
         return table
 
     def _versions(self) -> list[str]:
         return [n for n in self.files.names() if n.startswith("v") and n.endswith(".json")]
 
+    def _keep(self, name: str, s: Snapshot) -> Snapshot:
+        self._manifests[name], self._names[id(s)] = s, name
+        return s
+
+    def _manifest(self, name: str) -> Snapshot:
+        return self._manifests.get(name) or self._keep(name, snapshot_of(self.files.read(name)))
+
+    def _name(self, s: Snapshot) -> str:
+        """The name of a snapshot's manifest, which is written if this object has none yet. It follows from what the manifest says, so that writing it again does no harm."""
+        name = self._names.get(id(s))
+        if name is None or self._manifests.get(name) is not s:
+            text = snapshot_json(s)
+            name = f"s{s.id:010d}-{hashlib.sha256(text.encode()).hexdigest()[:32]}.json"
+            self.files.create(name, text)
+            self._keep(name, s)
+        return name
+
     def _load(self) -> tuple[int, Metadata]:
-        names = self._versions()
-        if not names:
+        version, text = self.files.latest("v")
+        if text is None:
             raise FileNotFoundError(self.root)
-        for _ in range(100):
-            text = self.files.read(names[-1])
-            if text.endswith("\n"):
-                return int(names[-1][1:-5]), Metadata.from_json(text)
-            time.sleep(0.02)
-        raise OSError(f"unfinished metadata {names[-1]}")
+        return version, Metadata.from_json(text, self._manifest)
 
     def exists(self) -> bool:
         return bool(self._versions())
@@ -176,7 +203,7 @@ class Table:
             out = edit(meta)
             if out is False:
                 return out
-            if self.files.create(f"v{version + 1:010d}.json", meta.to_json()):
+            if self.files.create(f"v{version + 1:010d}.json", meta.to_json([self._name(s) for s in meta.snapshots.values()])):
                 return out
 
     def add_snapshot(self, meta: Metadata, op: str, added: Iterable[File], removed: Iterable[str], summary: dict, *, parent: int | None | str = "head", schema: int | None = None, ts_ms: int | None = None) -> Snapshot:
@@ -220,6 +247,10 @@ class Table:
             out = out.sortWithinPartitions(*names) if names else out
         path = f"{self.root}/data/{uuid.uuid4().hex}"
         w = out.write
+        target = int(meta.properties.get(TARGET, 0))
+        if target:
+            rows = max(1, target // max(1, sum(_row_bytes(f.dataType) for f in schema.fields)))
+            max_records = min(max_records or rows, rows)
         if max_records:
             w = w.option("maxRecordsPerFile", max_records)
         if names:
@@ -415,6 +446,21 @@ def part_value(f: File) -> str:
     return next(x.partition("=")[2] for x in f.path.split("/") if x.startswith("_by="))
 
 
+#: Bytes that values of a type take up; texts, bytes and the elements of collections as a typical one.
+_BYTES = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4, T.StringType: 20, T.BinaryType: 100, T.DecimalType: 16}
+
+
+def _row_bytes(t: T.DataType) -> int:
+    """Bytes that a value takes up in about, by its type."""
+    if isinstance(t, T.StructType):
+        return sum(_row_bytes(f.dataType) for f in t.fields)
+    if isinstance(t, T.ArrayType):
+        return 4 * _row_bytes(t.elementType)
+    if isinstance(t, T.MapType):
+        return 4 * (_row_bytes(t.keyType) + _row_bytes(t.valueType))
+    return _BYTES.get(type(t), 8)
+
+
 def _bare(t: T.DataType) -> T.DataType:
     """The type without requirements, so that casts need not prove them."""
     if isinstance(t, T.StructType):
