@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import time
 from ..session import micros
+from . import avro
 
 SOURCE = T.StructType([T.StructField("ts_ms", T.LongType()), T.StructField("file", T.StringType()), T.StructField("pos", T.LongType()), T.StructField("lsn", T.LongType())])
 
@@ -31,15 +32,10 @@ def decode_json(raw: DataFrame, row: T.StructType, key: T.StructType, *, key_col
     return raw.select(*rest, F.from_json(F.col(key_col).cast("string"), key).alias("key"), v.alias("_v")).select(*rest, "key", "_v.*")
 
 
-def decode_avro(raw: DataFrame, schema: str, *, value_col: str = "value", framed: bool = True) -> DataFrame:
-    """Messages with an Avro value as columns of its record; ``framed`` values begin with a magic byte and a four-byte schema id. Needs Spark's Avro package on the class path."""
-    try:
-        from pyspark.sql.avro.functions import from_avro
-    except ImportError as e:
-        raise RuntimeError("Avro messages need Spark's Avro package") from e
+def decode_avro(raw: DataFrame, schema: str | dict[int, str], *, value_col: str = "value", framed: bool = True) -> DataFrame:
+    """Messages with an Avro value as columns of its record (see :func:`avro.decode`); ``framed`` values begin with a magic byte and a four-byte schema id, by which ``schema`` may name several."""
     rest = [c for c in raw.columns if c != value_col]
-    data = F.substring(value_col, 6, 2**31 - 1) if framed else F.col(value_col)
-    return raw.select(*rest, from_avro(data, schema).alias("_v")).select(*rest, "_v.*")
+    return avro.decode(raw, schema, value_col=value_col, framed=framed).select(*rest, "_v.*")
 
 
 #: Decoders by name, for ``key.converter`` and ``value.converter``; callers may add theirs.
