@@ -18,7 +18,7 @@ from ..operators import netchange
 from ..operators.scan import cuts_of, running
 from ..schema import derive, evolve
 from ..session import load, materialise, micros, scratch_dir
-from ..sources import changelog, topics
+from ..sources import avro, changelog, topics
 from ..streaming.capture import Capture
 from ..table import compact, upkeep
 from ..table.log import DATA, SOURCE, SQUASHED, TS, Metadata, Snapshot, Table, merge, part_value
@@ -227,6 +227,22 @@ def cdc_envelope_json_decode(spark: SparkSession, d: str) -> DataFrame:
     return changelog.decode_json(raw, ROW, KEY).select("seq", F.col("key.id").alias("key_id"), "op", F.col("after.id").alias("after_id"), F.col("after.v").alias("after_v"), F.col("source.ts_ms").alias("source_ts"), F.col("source.lsn").alias("lsn"))
 
 
+@query(ORACLE["cdc_envelope_json_decode"])
+def cdc_envelope_avro_decode(spark: SparkSession, d: str) -> DataFrame:
+    """The log as framed Avro messages and read again."""
+    import json
+
+    pair = [{"name": "id", "type": "long"}, {"name": "v", "type": ["null", "double"]}]
+    fields = [
+        {"name": "op", "type": "string"}, {"name": "after", "type": ["null", {"type": "record", "name": "row", "fields": pair}]},
+        {"name": "source", "type": {"type": "record", "name": "source", "fields": [{"name": "ts_ms", "type": "long"}, {"name": "lsn", "type": "long"}]}},
+    ]
+    schema = json.dumps({"type": "record", "name": "envelope", "fields": fields})
+    rows = _log(spark, d).select("seq", F.col("id").alias("key_id"), F.struct("op", F.when(F.col("op") != "d", F.struct("id", "v")).alias("after"), F.struct("ts_ms", "lsn").alias("source")).alias("value"))
+    got = changelog.decode_avro(avro.encode(rows, schema, "value", schema_id=1), {1: schema})
+    return got.select("seq", "key_id", "op", F.col("after.id").alias("after_id"), F.col("after.v").alias("after_v"), F.col("source.ts_ms").alias("source_ts"), F.col("source.lsn").alias("lsn"))
+
+
 # merge on read -------------------------------------------------------------------------------------------------------
 @query("select l_orderkey, l_linenumber from lineitem l where not exists (select 1 from orders o where o.o_orderkey = l.l_orderkey and 1 + o.o_orderkey % 7 > l.l_linenumber)")
 def mor_equality_delete_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -348,6 +364,17 @@ def table_row_delta(spark: SparkSession, d: str) -> DataFrame:
     return table.read()
 
 
+@query("select o_orderkey, case when o_orderkey % 6 = 0 then 'X' else o_orderstatus end status from orders where o_orderkey % 3 <> 0 or o_orderkey % 6 = 0")
+def table_orc_files(spark: SparkSession, d: str) -> DataFrame:
+    """The same on files of another format."""
+    table = Table.create(spark, scratch_dir(spark, "orc"), _ORDER, ["o_orderkey"], None, {"write.format.default": "orc"})
+    o = _orders(spark, d)
+    table.append(o)
+    third = o.filter("o_orderkey % 3 = 0")
+    table.row_delta(third.filter("o_orderkey % 6 = 0").withColumn("status", F.lit("X")), third.select("o_orderkey"), None)
+    return table.read()
+
+
 @query("select o_orderkey, o_orderstatus status from orders where o_orderkey % 2 = 1")
 def table_truncate(spark: SparkSession, d: str) -> DataFrame:
     """A table that was truncated between its two halves."""

@@ -61,6 +61,7 @@ class Capture:
         #: Since the start: records by operation, records out of order, likely duplicates, commits, schema migrations.
         self.metrics: dict[str, int] = defaultdict(int)
         self.spark, self.topic, self.table, self.settings, self.spec, self.properties = spark, topic, Table(spark, root), settings, spec, properties or {}
+        self.query, self._again = None, None
 
     # planning
     def committed(self) -> dict[int, int]:
@@ -198,7 +199,21 @@ class Capture:
         """A streaming query over ``messages``: all there is and then an end, or forever at the examine interval."""
         w = messages.writeStream.foreachBatch(lambda df, i: self(df, i) and None).option("checkpointLocation", checkpoint).queryName(self.topic)
         w = w.trigger(availableNow=True) if once else w.trigger(processingTime=f"{self.settings.examine_interval} seconds")
-        return w.start()
+        self.query, self._again = w.start(), lambda: self.start(messages, checkpoint, once=once)
+        return self.query
+
+    def pause(self) -> bool:
+        """Stop reading until :meth:`resume`; whether there was something to stop. A micro-batch that is cut off has committed whole commits or none, and is read again."""
+        running = self.query is not None and self.query.isActive
+        if running:
+            self.query.stop()
+        return running
+
+    def resume(self):
+        """Read on from where the checkpoint and the table stand; a query that still runs stays."""
+        if self._again is None:
+            raise RuntimeError("the capture was never started")
+        return self.query if self.query.isActive else self._again()
 
 
 def should_run(lag: int, last_source_ms: int | None, now_ms: int, settings: Stream) -> bool:
