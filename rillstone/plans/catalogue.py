@@ -21,7 +21,7 @@ from ..session import load, materialise, micros, scratch_dir
 from ..sources import avro, changelog, topics
 from ..streaming.capture import Capture
 from ..table import compact, upkeep
-from ..table.log import DATA, SOURCE, SQUASHED, TS, Metadata, Snapshot, Table, merge, part_value
+from ..table.log import DATA, SOURCE, SQUASHED, TS, Metadata, Snapshot, Table, by_partition, merge, part_value
 
 SIZE = 1000
 NOW = datetime(2024, 2, 10, 12, 14, 16, tzinfo=timezone.utc)
@@ -397,6 +397,29 @@ def table_compaction(spark: SparkSession, d: str) -> DataFrame:
     return table.read()
 
 
+@query("select o_orderkey, o_orderstatus status from orders where o_orderkey % 3 = 2 and o_orderstatus = 'F'")
+def table_scan_after_sequence(spark: SparkSession, d: str) -> DataFrame:
+    """Raw rows of the files that came after a sequence, under a predicate that reaches them."""
+    table = Table.create(spark, scratch_dir(spark, "sequences"), _ORDER, ["o_orderkey"])
+    seqs = [table.append(_orders(spark, d).filter(F.col("o_orderkey") % 3 == k)).seq for k in range(3)]
+    return table.scan(DATA, "c2 = 'F'", after_seq=seqs[1]).select(F.col("c1").alias("o_orderkey"), F.col("c2").alias("status"))
+
+
+@query("select o_orderkey % 3 part, count(*) n from orders group by 1")
+def table_files_by_partition(spark: SparkSession, d: str) -> DataFrame:
+    """What a rewrite may put together: the files of each partition, and the rows they hold."""
+    table = Table.create(spark, scratch_dir(spark, "parts"), T.StructType([*_ORDER.fields, T.StructField("part", T.LongType())]), ["o_orderkey"], ["part"])
+    o = _orders(spark, d).withColumn("part", F.col("o_orderkey") % 3)
+    for k in range(2):
+        table.append(o.filter(F.col("o_orderkey") % 2 == k))
+    meta = table.metadata()
+    out = None
+    for files in by_partition(meta.live(meta.refs["main"])).values():  # one frame per partition
+        got = merge(spark, files, meta.schemas[meta.schema], meta.schemas).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 @query("select o_orderkey, o_orderstatus status, 'tag' seen from orders where o_orderkey % 2 = 0 union all select o_orderkey, o_orderstatus, 'head' from orders where o_orderkey % 4 <> 0")
 def table_time_travel(spark: SparkSession, d: str) -> DataFrame:
     """A table as it was at a tag, and as it is after more rows, deletes and another name of a column."""
