@@ -47,20 +47,31 @@ def variable_scale_decimal(scale: Column, value: Column) -> Column:
     The bytes are read as two limbs of 16 hexadecimal digits from the right, all in the JVM; digits before them have to be
     nothing but sign.
     """
-    digits = F.hex(value)
-    negative = F.conv(F.substring(digits, 1, 1), 16, 10).cast("int") >= 8
-    sign = F.when(negative, "F").otherwise("0")
-    wide = F.concat(F.repeat(sign, F.lit(32)), digits)
-    beyond = wide.substr(F.lit(1), F.length(wide) - 32) != F.repeat(sign, F.length(wide) - 32)
-    limb = lambda at: F.conv(F.substring(wide, at, 16), 16, 10).cast("decimal(38,0)")
-    high, low = limb(-32), limb(-16)
     two64 = F.lit("18446744073709551616").cast("decimal(38,0)")
-    n = F.when(~beyond, F.try_add(F.try_multiply(F.when(negative, high - two64).otherwise(high), two64), low))
-    # moving the decimal point of the text keeps every digit
-    plain = F.replace(n.cast("string"), F.lit("-"), F.lit(""))
-    text = F.when(F.length(plain) <= scale, F.concat(F.repeat(F.lit("0"), scale - F.length(plain) + 1), plain)).otherwise(plain)
-    moved = F.when(scale <= 0, F.concat(plain, F.repeat(F.lit("0"), -scale))).otherwise(F.concat(text.substr(F.lit(1), F.length(text) - scale), F.lit("."), text.substr(F.length(text) - scale + 1, scale)))
-    return F.concat(F.when(n < 0, "-").otherwise(""), moved).try_cast("decimal(38,18)")
+
+    def number(digits: Column) -> Column:
+        sign = F.when(F.substring(digits, 1, 1) >= "8", "F").otherwise("0")
+        wide = F.lpad(F.substring(digits, -32, 32), 32, sign)
+        high, low = (F.conv(F.substring(wide, at, 16), 16, 10).cast("decimal(38,0)") for at in (1, 17))
+        n = F.try_add(F.try_multiply(F.when(sign == "F", high - two64).otherwise(high), two64), low)
+        more = F.length(digits) - 32
+        return F.when((more <= 0) | (F.trim(digits.substr(F.lit(1), F.greatest(more, F.lit(0))), sign) == ""), n)
+
+    def shifted(plain: Column) -> Column:
+        # moving the decimal point of the text keeps every digit
+        whole = F.lpad(plain, F.greatest(F.length(plain), scale + 1), "0")
+        point = F.length(whole) - scale
+        return F.when(scale <= 0, F.concat(plain, F.repeat(F.lit("0"), -scale))).otherwise(F.concat(F.left(whole, point), F.lit("."), F.right(whole, scale)))
+
+    def text(n: Column) -> Column:
+        return F.concat(F.when(n < 0, "-").otherwise(""), _once(F.replace(n.cast("string"), F.lit("-"), F.lit("")), shifted))
+
+    return _once(F.hex(value), lambda digits: _once(number(digits), text)).try_cast("decimal(38,18)")
+
+
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def zoned_micros(text: Column) -> Column:
