@@ -11,6 +11,7 @@ score reaches ``THRESHOLD``, one to one, best first. What has none was removed o
 from __future__ import annotations
 
 import json
+import sys
 from collections import defaultdict
 from functools import reduce
 from operator import or_
@@ -56,6 +57,7 @@ def leaves(x: dict, prefix: str = ""):
 
 
 def _objects(column):
+    sys.set_int_max_str_digits(0)  # else an integer of over 4300 digits makes its text unreadable
     for i, text in enumerate(column.to_pylist()):
         if text is None:
             continue
@@ -97,13 +99,15 @@ def profile(feed: DataFrame) -> DataFrame:
 def versions(feed: DataFrame, files: DataFrame) -> DataFrame:
     """(topic, file_id, place, version, shape): files with objects in order of opened_at (unknown times last, then file_id) and the version of the schema each has.
 
+    A file that ``files`` doesn't list has an unknown time. Rows without file_id belong to no file; a null topic equals null.
+
     ``version`` counts the files so far whose paths and types aren't those of the file before; ``shape`` holds a file's
     paths and types where a version starts, else null. Written once, for reading it again would parse all texts again.
     """
     shapes = profile(feed).groupBy("topic", "file_id").agg(F.array_sort(F.collect_list(F.struct("path", "kind"))).alias("shape"))
     order = files.filter("file_id is not null").groupBy("topic", "file_id").agg(F.min("opened_at").alias("opened_at"))
     there = order.select(F.col("topic").alias("_t"), F.col("file_id").alias("_f"), "opened_at")
-    rows = shapes.join(there, F.col("topic").eqNullSafe(F.col("_t")) & (F.col("file_id") == F.col("_f"))).withColumn("hash", F.xxhash64("shape"))
+    rows = shapes.join(there, F.col("topic").eqNullSafe(F.col("_t")) & (F.col("file_id") == F.col("_f")), "left").withColumn("hash", F.xxhash64("shape"))
     w = Window.partitionBy("topic").orderBy(F.col("opened_at").asc_nulls_last(), "file_id")  # one row per file
     rows = rows.withColumns({"place": F.row_number().over(w), "starts": (~F.col("hash").eqNullSafe(F.lag("hash").over(w))).cast("int")})
     rows = rows.withColumn("version", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
@@ -370,6 +374,14 @@ def _unified_type(kinds: set[str]) -> str:
     return "string"
 
 
+def _double(v) -> float:
+    """As SQL casts it: infinite beyond the range."""
+    try:
+        return float(v)
+    except OverflowError:
+        return float("inf") if v > 0 else float("-inf")
+
+
 def _unify(maps: dict[int, list[tuple[str, str]]], columns: list[tuple[str, str]]):
     def run(batches):
         import pyarrow as pa
@@ -388,7 +400,7 @@ def _unify(maps: dict[int, list[tuple[str, str]]], columns: list[tuple[str, str]
                     k = kind[col]
                     if k == "bigint" and not -(2**63) <= v < 2**63:
                         continue  # no integer of the table's type
-                    out[col][i] = v if k in ("boolean", "bigint") else float(v) if k == "double" else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+                    out[col][i] = v if k in ("boolean", "bigint") else _double(v) if k == "double" else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("delivery_id", "file_id")], *[pa.array(out[c], arrow[k]) for c, k in columns]], names=["delivery_id", "file_id", *[c for c, _ in columns]])
 
     return run
@@ -413,7 +425,7 @@ def consistent_table(spark: SparkSession, feed: DataFrame, files: DataFrame, top
     """All rows of a topic as one table: delivery_id, file_id and a column per field, under its first name, in a type for all of its types (text if they differ in kind; arrays as JSON).
 
     Two kinds of integers don't fit, and :func:`unheld_integers` counts them: beyond 64 bits they are null in a bigint
-    column, and where a field is also a number the column is double, which rounds those beyond 2^53.
+    column, and where a field is also a number the column is double, which rounds those beyond 2^53 (to infinity from about 10^308 on).
     """
     rows, maps, columns = _consistent(feed, files, topic, ids)
     ddl = ", ".join(["delivery_id bigint", "file_id bigint", *[f"`{c}` {t}" for c, t in columns]])
@@ -435,7 +447,7 @@ def _unheld(maps: dict[int, list[tuple[str, str]]], columns: list[tuple[str, str
                         continue
                     if kind[col] == "bigint" and not -(2**63) <= v < 2**63:
                         counts[col, "null"] += 1
-                    elif kind[col] == "double" and int(float(v)) != v:
+                    elif kind[col] == "double" and _double(v) != v:
                         counts[col, "rounded"] += 1
         rows = [(*k, n) for k, n in counts.items()]
         cols = list(zip(*rows)) if rows else [[]] * 3
