@@ -68,13 +68,14 @@ def net_changes(log: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.withColumns({"pos": live.cast("int"), "eq": (~live & deletes).cast("int"), "survives": (F.col("_next").isNull() & (F.col("op") != "d")).cast("int")}).drop("_prev", "_next")
 
 
-def apply_equality_deletes(data: DataFrame, deletes: DataFrame, keys: list[str], seq: str) -> DataFrame:
+def apply_equality_deletes(data: DataFrame, deletes: DataFrame, keys: list[str], seq: str, *, hint: str | None = None) -> DataFrame:
     """Rows of ``data`` not deleted by a later sequence: a row stays unless a delete of its key has a larger ``seq``.
 
     The comparison of sequences is folded into one row per key (its largest sequence), which makes the anti join an equi
-    join that hashes or broadcasts as sizes allow. Null keys match null keys.
+    join that hashes or broadcasts as sizes allow, or goes as ``hint`` says. Null keys match null keys.
     """
     last = deletes.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max(seq).alias("_del"))
+    last = last.hint(hint) if hint else last
     on = F.lit(True)
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))

@@ -32,6 +32,10 @@ _BELOW = r"(?:data|deletes)/[0-9a-f]{32}/.*$"
 DATA, EQ, POS = "data", "equality-deletes", "position-deletes"
 #: Property that names the format of new data files: parquet, orc, or avro where its reader is installed.
 FORMAT, FORMATS = "write.format.default", (".parquet", ".orc", ".avro")
+#: Files up to which their list is sent to every executor; about 10 MB.
+LISTED = 50_000
+#: Bytes of files of deleted keys beyond which Spark may not broadcast them: by its estimate, which is the files' size, it would do so with keys that take up thirty times that.
+KEY_BYTES = 1_000_000
 #: Property that names the size that new data files should not much exceed, in bytes as rows take them up before compression.
 TARGET = "write.target-file-size-bytes"
 TS, WAL, OFFSETS, SQUASHED, SOURCE = "source-ts", "source-wal-position", "broker-offsets", "squash-snapshots-id", "source-snapshot-id"
@@ -483,7 +487,8 @@ def _with_seq(spark: SparkSession, df: DataFrame, files: list[File]) -> DataFram
     if len(seqs) == 1:
         return df.withColumn("_seq", F.lit(seqs.pop()).cast("bigint"))
     by = spark.createDataFrame([(f.name, f.seq) for f in files], "_name string, _seq bigint")  # one row per file
-    return df.join(by, "_name")
+    # the list's size is unknown to Spark, and files may be a thousandth of their rows' size (ORC of keys in order): an outer join never broadcasts the rows
+    return df.join(F.broadcast(by) if len(files) <= LISTED else by, "_name", "left")
 
 
 def read_files(spark: SparkSession, files: list[File], schema: T.StructType | None) -> DataFrame:
@@ -531,5 +536,6 @@ def merge(spark: SparkSession, files: list[File], schema: T.StructType, schemas:
         for keys in sorted({f.keys for f in eq}):
             own = [f for f in eq if f.keys == keys]
             d = spark.read.schema(T.StructType([types[k] for k in keys])).parquet(*[f.path for f in own]).select("*", read_name().alias("_name"))
-            rows = apply_equality_deletes(rows, _with_seq(spark, d, own).select(*keys, "_seq"), list(keys), "_seq")
+            large = sum(f.bytes for f in own) > KEY_BYTES
+            rows = apply_equality_deletes(rows, _with_seq(spark, d, own).select(*keys, "_seq"), list(keys), "_seq", hint="merge" if large else None)
     return rows.select(*logical, *([F.col("_name"), F.col("_pos")] if positions else []))
