@@ -16,6 +16,8 @@ class Files:
     def __init__(self, spark: SparkSession, root: str, make: bool = True):
         self.jvm, self.root, self.gateway, self.conf = spark._jvm, root.rstrip("/"), spark.sparkContext._gateway, spark._jsc.hadoopConfiguration()
         self.fs = self._path("").getFileSystem(self.conf)
+        #: The folder on a local file system, which needs no call to the JVM for each file.
+        self.local = self._path("").toUri().getPath() if self.fs.getUri().getScheme() == "file" else None
         if make:
             self.fs.mkdirs(self._path(""))
 
@@ -24,6 +26,8 @@ class Files:
 
     def names(self) -> list[str]:
         """Names in the folder, none if it isn't there."""
+        if self.local is not None:
+            return sorted(n for n in os.listdir(self.local) if not (n.startswith(".") and n.endswith(".crc"))) if os.path.isdir(self.local) else []
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(""))) if self.fs.exists(self._path("")) else []
 
     def read(self, name: str) -> str:
@@ -35,12 +39,11 @@ class Files:
 
     def create(self, name: str, text: str) -> bool:
         """Whether the file is ours; false if it exists already. It is written under another name and takes its own when it is whole, so that a writer that dies leaves no torn file: local file systems link it, others rename it where nothing is."""
-        if self.fs.getUri().getScheme() == "file":
-            folder = self._path("").toUri().getPath()
-            with tempfile.NamedTemporaryFile("w", dir=folder, prefix=".new-", delete=False) as f:
+        if self.local is not None:
+            with tempfile.NamedTemporaryFile("w", dir=self.local, prefix=".new-", delete=False) as f:
                 f.write(text)
             try:
-                os.link(f.name, f"{folder}/{name}")
+                os.link(f.name, f"{self.local}/{name}")
                 return True
             except FileExistsError:
                 return False

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from datetime import datetime, timedelta, timezone
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -469,31 +470,31 @@ def cherrypick_chain(spark: SparkSession, d: str) -> DataFrame:
     """The whole log as a table; of every three days the batches of the first two compacted, oldest first, and each time all later snapshots picked anew: its chain with what each snapshot came from. Other rows than before are an error."""
     table, days = _state_table(spark, d)
     before = table.metadata().refs.get("main")
+    meta, ranges = table.metadata(), []
     for k in range(0, len(days), 3):
-        own, meta = {i for day in days[k : k + 2] for i in day}, table.metadata()
-        run = [s for s in meta.ancestors(meta.refs["main"]) if int(s.summary.get(SOURCE, s.id)) in own][::-1]
+        run = [i for day in days[k : k + 2] for i in day]
         if len(run) > 1:
-            compact.compact(table, run[0].parent, run[-1].id)
+            ranges.append((meta.snapshots[run[0]].parent, run[-1]))
+    compact.compact_all(table, ranges)
     meta = table.metadata()
-    old, new = table.read(before), table.read()
-    if before is not None and not old.exceptAll(new).unionByName(new.exceptAll(old)).isEmpty():
+    old, new = table.read(before).withColumn("_n", F.lit(1)), table.read().withColumn("_n", F.lit(-1))
+    if before is not None and not old.unionByName(new).groupBy("id", "v").agg(F.sum("_n").alias("_n")).filter("_n <> 0").isEmpty():
         raise RuntimeError("the table's rows are others after the compactions")
     rows = [(s.id, s.parent, s.op, s.summary.get(SOURCE), s.summary.get(SQUASHED)) for s in meta.ancestors(meta.refs.get("main"))]
     return spark.createDataFrame(rows, "id bigint, parent bigint, op string, picked_from string, squashed string")
 
 
 def _state_table(spark: SparkSession, d: str) -> tuple[Table, list[list[int]]]:
-    """The log as a table, a commit per batch, and the snapshots of each day in order. As in a capture, one job writes the files of all commits."""
+    """The log as a table, a commit per batch, and the snapshots of each day in order; a day that comes again later is another. As in a capture, one job writes the files of all commits."""
     net = materialise(_net(spark, d).select("bid", "dt", "ts_ms", "id", "v", "eq", "survives"), "net")
     table = Table.create(spark, scratch_dir(spark, "table"), T.StructType([T.StructField("id", T.LongType(), False), T.StructField("v", T.DoubleType())]), ["id"])
     files: dict[int, list] = defaultdict(list)
     written = table.write_data(net.filter("survives = 1").select("id", "v", "bid"), clustered=True, by="bid")
     for f in [*written, *table.write_equality_deletes(net.filter("eq = 1").select("id", "bid"), by="bid")]:
         files[int(part_value(f))].append(f)
-    days: dict = defaultdict(list)
-    for r in net.groupBy("bid").agg(F.max("dt").alias("dt"), F.max("ts_ms").alias("t")).orderBy("bid").collect():  # one row per commit
-        days[r.dt].append(table.commit_files(files[r.bid], {TS: str(r.t)}).id)
-    return table, list(days.values())
+    batches = net.groupBy("bid").agg(F.max("dt").alias("dt"), F.max("ts_ms").alias("t")).orderBy("bid").collect()  # one row per commit
+    made = table.commit_all([(files[r.bid], {TS: str(r.t)}) for r in batches])
+    return table, [[s.id for _, s in day] for _, day in groupby(zip(batches, made), key=lambda x: x[0].dt)]
 
 
 @query(

@@ -9,14 +9,14 @@ compares with them as before. The chain changes in a single metadata version: no
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import asdict
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import evolve
-from .log import DATA, EQ, POS, SOURCE, SQUASHED, CommitConflict, File, Metadata, Snapshot, Table, merge, read_name
+from .log import DATA, EQ, POS, SOURCE, SQUASHED, CommitConflict, File, Metadata, Snapshot, Table, merge, part_value, read_files, read_name, with_file
 
 
 class InvalidCompaction(ValueError):
@@ -110,36 +110,38 @@ def squash(table: Table, low: int | None, high: int, new: list[File], schema: in
     if any(f.content == POS for f in new):
         raise InvalidCompaction("a squash may add equality deletes only")
 
-    def edit(meta: Metadata) -> Snapshot | None:
-        head = meta.refs.get("main")
-        chain = [s.id for s in meta.ancestors(head)]
-        if high not in chain:
-            raise InvalidCompaction(f"snapshot {high} is not on the main branch")
-        run = in_range(meta, low, high)
-        added, removed = net_files(run)
-        new_paths = {f.path for f in new}
-        dead = {f.path for f in added if f.content == DATA} - new_paths
-        later = [meta.snapshots[i] for i in reversed(chain[: chain.index(high)])]
-        check_picks(later, dead)
-        top = meta.snapshots[high]
-        op = net_operation([s.op for s in run], sum(f.content == DATA for f in new), sum(f.content == EQ for f in new), len(removed))
-        made, parent = None, low
-        if op != "noop":
-            summary = {**top.summary, SQUASHED: ",".join(str(s.id) for s in run)}
-            # files keep the sequence they were first committed with when their snapshot is picked anew, so theirs counts
-            seq = max((f.seq for s in run for f in s.added), default=top.seq)
-            files = [File(**asdict(f) | {"seq": seq}) for f in new]
-            made = table.add_snapshot(meta, op, files, removed, summary, parent=low, schema=top.schema if schema is None else schema, ts_ms=top.ts_ms)
-            parent = made.id
-        for s in later:
-            parent = table.add_snapshot(meta, s.op, s.added, s.removed, {**s.summary, SOURCE: s.summary.get(SOURCE, str(s.id))}, parent=parent, schema=s.schema, ts_ms=s.ts_ms).id
-        if parent is None:
-            meta.refs.pop("main", None)
-        else:
-            meta.refs["main"] = parent
-        return made
+    return table.commit(lambda meta: _squash(table, meta, low, high, new, schema)[0])
 
-    return table.commit(edit)
+
+def _squash(table: Table, meta: Metadata, low: int | None, high: int, new: list[File], schema: int | None = None) -> tuple[Snapshot | None, list[int], dict[int, int]]:
+    """:func:`squash` in ``meta``: the new snapshot, the ids that it replaces, and of each that was picked anew its new id."""
+    head = meta.refs.get("main")
+    chain = [s.id for s in meta.ancestors(head)]
+    if high not in chain:
+        raise InvalidCompaction(f"snapshot {high} is not on the main branch")
+    run = in_range(meta, low, high)
+    added, removed = net_files(run)
+    new_paths = {f.path for f in new}
+    dead = {f.path for f in added if f.content == DATA} - new_paths
+    later = [meta.snapshots[i] for i in reversed(chain[: chain.index(high)])]
+    check_picks(later, dead)
+    top = meta.snapshots[high]
+    op = net_operation([s.op for s in run], sum(f.content == DATA for f in new), sum(f.content == EQ for f in new), len(removed))
+    made, parent, picked = None, low, {}
+    if op != "noop":
+        summary = {**top.summary, SQUASHED: ",".join(str(s.id) for s in run)}
+        # files keep the sequence they were first committed with when their snapshot is picked anew, so theirs counts
+        seq = max((f.seq for s in run for f in s.added), default=top.seq)
+        files = [replace(f, seq=seq) for f in new]
+        made = table.add_snapshot(meta, op, files, removed, summary, parent=low, schema=top.schema if schema is None else schema, ts_ms=top.ts_ms)
+        parent = made.id
+    for s in later:
+        parent = picked[s.id] = table.add_snapshot(meta, s.op, s.added, s.removed, {**s.summary, SOURCE: s.summary.get(SOURCE, str(s.id))}, parent=parent, schema=s.schema, ts_ms=s.ts_ms).id
+    if parent is None:
+        meta.refs.pop("main", None)
+    else:
+        meta.refs["main"] = parent
+    return made, [s.id for s in run], picked
 
 
 def cherry_pick(table: Table, snapshot: int) -> Snapshot:
@@ -157,18 +159,21 @@ def cherry_pick(table: Table, snapshot: int) -> Snapshot:
     return table.commit(edit)
 
 
-def rewrite_keys(spark: SparkSession, files: list[File], table: Table, meta: Metadata) -> list[File]:
-    """Equality deletes of one key as one set of distinct keys; keys of dropped columns in the latest schema that had them."""
+def rewrite_keys(spark: SparkSession, files: list[File], table: Table, meta: Metadata, ranges: dict[str, int] | None = None) -> list[File]:
+    """Equality deletes of one key as one set of distinct keys, or one per range if ``ranges`` has it by path; keys of dropped columns in the latest schema that had them."""
     out: list[File] = []
     for keys in sorted({f.keys for f in files}):
-        paths = [f.path for f in files if f.keys == keys]
+        parts = [f for f in files if f.keys == keys]
         having = [n for n, s in meta.schemas.items() if set(keys) <= set(evolve.physical(s).names)]
         own = Metadata(**meta.__dict__ | {"schema": meta.schema if meta.schema in having else max(having)})
         schema = own.schemas[own.schema]
         names = {f"c{f.metadata[evolve.ID]}": f.name for f in schema.fields}
         physical = evolve.physical(schema)
-        df = spark.read.schema(T.StructType([physical[k] for k in keys])).parquet(*paths).select(*[F.col(k).alias(names[k]) for k in keys])
-        out += table.write_equality_deletes(df, own)
+        df = read_files(spark, parts, T.StructType([physical[k] for k in keys]))
+        if ranges is not None:
+            df = with_file(spark, df.select("*", read_name().alias("_name")), parts, ranges)
+        df = df.select(*[F.col(k).alias(names[k]) for k in keys], *(["_range"] if ranges is not None else []))
+        out += table.write_equality_deletes(df, own, by="_range" if ranges is not None else None)
     return out
 
 
@@ -179,17 +184,7 @@ def compact(table: Table, low: int | None, high: int, *, max_records: int | None
     within the range is an error.
     """
     meta = table.metadata()
-    run = in_range(meta, low, high)
-    if low is not None:
-        check_positions(run)
-    added, _ = net_files(run)
-    if len({f.spec for s in run for f in s.added if f.content == DATA}) > 1:
-        raise InvalidCompaction("the partition spec changes within the range")
-    top = meta.snapshots[high]
-    # later snapshots must be fit to follow before any row is written
-    chain = [s.id for s in meta.ancestors(meta.refs.get("main"))]
-    if high in chain:
-        check_picks([meta.snapshots[i] for i in reversed(chain[: chain.index(high)])], {f.path for f in added if f.content == DATA})
+    added, top = _fit(meta, low, high), meta.snapshots[high]
     new: list[File] = []
     if any(f.content == DATA for f in added):
         rows = merge(table.spark, added, meta.schemas[top.schema], meta.schemas)
@@ -202,6 +197,73 @@ def compact(table: Table, low: int | None, high: int, *, max_records: int | None
     return squash(table, low, high, new)
 
 
+def _fit(meta: Metadata, low: int | None, high: int) -> list[File]:
+    """The files that a range adds in the end, if it can be compacted and later snapshots are fit to follow."""
+    run = in_range(meta, low, high)
+    if low is not None:
+        check_positions(run)
+    added, _ = net_files(run)
+    if len({f.spec for s in run for f in s.added if f.content == DATA}) > 1:
+        raise InvalidCompaction("the partition spec changes within the range")
+    # later snapshots must be fit to follow before any row is written
+    chain = [s.id for s in meta.ancestors(meta.refs.get("main"))]
+    if high in chain:
+        check_picks([meta.snapshots[i] for i in reversed(chain[: chain.index(high)])], {f.path for f in added if f.content == DATA})
+    return added
+
+
+def compact_all(table: Table, ranges: list[tuple[int | None, int]], *, max_records: int | None = None) -> list[Snapshot | None]:
+    """:func:`compact` of several ranges (low and high as they are now) of the main branch that don't overlap, oldest first.
+
+    The chain that comes out is the same, ids included, as of one compaction after the other, each of which picks all later
+    snapshots anew. But one job for each schema and spec writes the files of all ranges, and the chain changes in a single
+    version; snapshots that were picked only to be picked or squashed again are in none.
+    """
+    meta = table.metadata()
+    place = {s.id: i for i, s in enumerate(reversed(meta.ancestors(meta.refs.get("main"))))}
+    last = None
+    for n, (low, high) in enumerate(ranges):
+        if high not in place or low is not None and low not in place or n and (low is None or place[low] < place[last]):
+            raise InvalidCompaction(f"the range after {low} up to {high} is not on the main branch or not after the one before")
+        last = high
+    new: dict[int, list[File]] = {n: [] for n in range(len(ranges))}
+    jobs: dict[tuple[int, int], dict[int, list[File]]] = {}
+    for n, (low, high) in enumerate(ranges):
+        added, schema = _fit(meta, low, high), meta.snapshots[high].schema
+        jobs.setdefault((schema, next((f.spec for f in added if f.content == DATA), -1)), {})[n] = added
+    for (schema, spec), own in jobs.items():
+        at = Metadata(**meta.__dict__ | {"schema": schema})
+        of = {f.path: n for n, added in own.items() for f in added}
+        written: list[File] = []
+        if spec >= 0:
+            rows = merge(table.spark, [f for added in own.values() for f in added], meta.schemas[schema], meta.schemas, ranges=of)
+            written += table.write_data(rows, Metadata(**at.__dict__ | {"spec": spec}), clustered=True, max_records=max_records, by="_range")
+        gone = [f for n, added in own.items() if ranges[n][0] is not None for f in added if f.content == EQ]
+        written += rewrite_keys(table.spark, gone, table, at, of) if gone else []
+        for f in written:
+            new[int(part_value(f))].append(f)
+
+    def edit(meta: Metadata) -> list[Snapshot | None]:
+        known, out = set(meta.snapshots), []
+        old = [s.id for s in reversed(meta.ancestors(meta.refs.get("main")))]
+        now, at = list(old), {i: n for n, i in enumerate(old)}  # what each snapshot of the branch has become
+        for n, (low, high) in enumerate(ranges):
+            if high not in at:
+                raise InvalidCompaction(f"snapshot {high} is not on the main branch")
+            start, end = None if low is None else now[at[low]], at[high]
+            # with nothing left before the range nothing is left to delete there
+            made, run, picked = _squash(table, meta, start, now[end], [f for f in new[n] if start is not None or f.content != EQ])
+            now[end] = made.id if made else start
+            now[end + 1 :] = [picked[i] for i in now[end + 1 :]]
+            for i in [*run, *picked]:
+                if i not in known:
+                    del meta.snapshots[i]
+            out.append(made)
+        return out
+
+    return table.commit(edit) if ranges else []
+
+
 def _at(meta: Metadata, s: Snapshot) -> Metadata:
     """The metadata with the schema that a snapshot was written in."""
     return Metadata(**meta.__dict__ | {"schema": s.schema})

@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import time
 import uuid
-from collections.abc import Callable, Iterable
-from dataclasses import asdict, dataclass, field
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -228,6 +230,9 @@ class Table:
         """Files of a write with their sizes."""
         hpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         fs = hpath.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if fs.getUri().getScheme() == "file":  # Hadoop runs a command for each local file to learn its permissions
+            walk = ((f"{at}/{n}", n) for at, _, names in os.walk(hpath.toUri().getPath()) for n in names)
+            return sorted((f"file:{p}", os.path.getsize(p)) for p, n in walk if n.endswith(FORMATS) and not n.startswith(("_", ".")))
         it, out = fs.listFiles(hpath, True), []
         while it.hasNext():
             status = it.next()
@@ -269,8 +274,10 @@ class Table:
         path = f"{self.root}/deletes/{uuid.uuid4().hex}"
         names = [c for c in keys.columns if c != by]
         ids = [schema[c].metadata[evolve.ID] for c in names]
-        out = keys.select(*[F.col(f"`{c}`").cast(schema[c].dataType).alias(f"c{i}") for c, i in zip(names, ids)], *([F.col(by).alias("_by")] if by else [])).distinct().write
-        (out.partitionBy("_by") if by else out).parquet(path)
+        out = keys.select(*[F.col(f"`{c}`").cast(schema[c].dataType).alias(f"c{i}") for c, i in zip(names, ids)], *([F.col(by).alias("_by")] if by else [])).distinct()
+        # else every task has keys, and writes a file, of every value
+        out = out.hint("rebalance", "_by").sortWithinPartitions("_by").write.partitionBy("_by") if by else out.write
+        out.parquet(path)
         return [File(p, EQ, -1, meta.spec, "", tuple(f"c{i}" for i in ids), bytes=n) for p, n in self._list(path)]
 
     def write_position_deletes(self, positions: DataFrame) -> list[File]:
@@ -353,18 +360,34 @@ class Table:
             head = meta.refs.get("main")
             if not rebase and base is not None and base not in {s.id for s in meta.ancestors(head)}:
                 raise CommitConflict(f"Snapshot {base} is not an ancestor of {head}")
-            live = {f.path for f in meta.live(head)}
-            for f in files:
-                gone = [r for r in f.refs if r not in live and r not in {g.path for g in files}]
-                if gone:
-                    raise CommitConflict(f"position deletes point to files that are gone: {gone[:3]}")
-            seq = meta.last_seq + 1
-            kinds = {f.content for f in files}
-            op = "append" if kinds <= {DATA} and not removed else "delete" if DATA not in kinds else "overwrite"
-            return self.add_snapshot(meta, op, [File(**asdict(f) | {"seq": seq}) for f in files], removed, summary or {})
+            return self._delta(meta, files, removed, summary, {f.path for f in meta.live(head)})
 
         return self.commit(edit)
 
+    def commit_all(self, commits: list[tuple[list[File], dict]]) -> list[Snapshot]:
+        """Commit written files as a snapshot for each of ``commits`` (files and summary), one after the other, in one version: the time and metadata of a version grow with the snapshots there are."""
+
+        def edit(meta: Metadata) -> list[Snapshot]:
+            live = {f.path for f in meta.live(meta.refs.get("main"))}
+            out = []
+            for files, summary in commits:
+                out.append(self._delta(meta, files, (), summary, live))
+                live.update(f.path for f in files)
+            return out
+
+        return self.commit(edit) if commits else []
+
+    def _delta(self, meta: Metadata, files: list[File], removed: tuple[str, ...], summary: dict | None, live: set[str]) -> Snapshot:
+        """Put a snapshot of written files into ``meta``; ``live``: paths of the files there are before it."""
+        for f in files:
+            gone = [r for r in f.refs if r not in live and r not in {g.path for g in files}]
+            if gone:
+                raise CommitConflict(f"position deletes point to files that are gone: {gone[:3]}")
+        seq = meta.last_seq + 1
+        kinds = {f.content for f in files}
+        op = "append" if kinds <= {DATA} and not removed else "delete" if DATA not in kinds else "overwrite"
+        return self.add_snapshot(meta, op, [replace(f, seq=seq) for f in files], removed, summary or {})
+
     def truncate(self, summary: dict | None = None) -> Snapshot:
         """A snapshot that removes every file; history stays."""
 
@@ -481,12 +504,15 @@ def read_name() -> Column:
     return F.url_decode(F.replace(F.regexp_extract("_metadata.file_path", _BELOW, 0), F.lit("+"), F.lit("%2B")))
 
 
-def _with_seq(spark: SparkSession, df: DataFrame, files: list[File]) -> DataFrame:
-    """Adds ``_seq`` from the file each row lies in; one sequence needs no join."""
+def with_file(spark: SparkSession, df: DataFrame, files: list[File], ranges: dict[str, int] | None = None) -> DataFrame:
+    """Adds ``_seq``, and ``_range`` if ``ranges`` has it by path, from the file each row lies in (``_name``); one sequence needs no join."""
     seqs = {f.seq for f in files}
-    if len(seqs) == 1:
+    if len(seqs) == 1 and ranges is None:
         return df.withColumn("_seq", F.lit(seqs.pop()).cast("bigint"))
-    by = spark.createDataFrame([(f.name, f.seq) for f in files], "_name string, _seq bigint")  # one row per file
+    if ranges is None:
+        by = spark.createDataFrame([(f.name, f.seq) for f in files], "_name string, _seq bigint")  # one row per file
+    else:
+        by = spark.createDataFrame([(f.name, f.seq, ranges[f.path]) for f in files], "_name string, _seq bigint, _range bigint")
     # the list's size is unknown to Spark, and files may be a thousandth of their rows' size (ORC of keys in order): an outer join never broadcasts the rows
     return df.join(F.broadcast(by) if len(files) <= LISTED else by, "_name", "left")
 
@@ -494,7 +520,21 @@ def _with_seq(spark: SparkSession, df: DataFrame, files: list[File]) -> DataFram
 def read_files(spark: SparkSession, files: list[File], schema: T.StructType | None) -> DataFrame:
     """Files of one format by their paths, with column pruning and predicates as their reader has them."""
     r = spark.read.format(files[0].format)
-    return (r.schema(schema) if schema is not None else r).load([f.path for f in files])
+    paths = [f.path for f in files]
+    with few_listings(spark):
+        return (r.schema(schema) if schema is not None else r).load(paths)
+
+
+@contextmanager
+def few_listings(spark: SparkSession) -> Iterator[None]:
+    """While paths are looked up, a task looks up many of them and not one."""
+    name, most = "spark.sql.sources.parallelPartitionDiscovery.parallelism", str(4 * spark.sparkContext.defaultParallelism)
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def by_partition(files: Iterable[File]) -> dict[tuple[int, str], list[File]]:
@@ -506,12 +546,13 @@ def by_partition(files: Iterable[File]) -> dict[tuple[int, str], list[File]]:
     return out
 
 
-def merge(spark: SparkSession, files: list[File], schema: T.StructType, schemas: dict[int, T.StructType], *, positions: bool = False) -> DataFrame:
+def merge(spark: SparkSession, files: list[File], schema: T.StructType, schemas: dict[int, T.StructType], *, positions: bool = False, ranges: dict[str, int] | None = None) -> DataFrame:
     """Rows of data files without those that equality deletes of a later sequence or position deletes hit, in ``schema``.
 
     ``schemas``: all of the table's, for deletes whose key columns ``schema`` has no more: these are read along until the
     deletes are applied. ``positions`` adds _name and _pos of each row. Columns that a file lacks are null; narrower types
-    are widened.
+    are widened. ``ranges`` tells by path which of several sets a file is in: each is merged on its own, as if there were no
+    others, and _range is added.
     """
     data = [f for f in files if f.content == DATA]
     logical = [F.col(f"c{f.metadata[evolve.ID]}").cast(_bare(f.dataType)).alias(f.name) for f in schema.fields]
@@ -525,17 +566,18 @@ def merge(spark: SparkSession, files: list[File], schema: T.StructType, schemas:
     rows = None
     for kind in sorted({f.format for f in data}):
         part = read_files(spark, [f for f in data if f.format == kind], phys)
-        if eq or pos or positions:
+        if eq or pos or positions or ranges is not None:
             part = part.select("*", read_name().alias("_name"), (F.col("_metadata.row_index") if kind == "parquet" else F.lit(None).cast("bigint")).alias("_pos"))
         rows = part if rows is None else rows.unionByName(part)
     if pos:
         dead = spark.read.parquet(*[f.path for f in pos]).select(F.regexp_extract("file_path", _BELOW, 0).alias("_name"), F.col("pos").alias("_pos")).distinct()
         rows = rows.join(dead, ["_name", "_pos"], "left_anti")
-    if eq:
-        rows = _with_seq(spark, rows, data)
-        for keys in sorted({f.keys for f in eq}):
-            own = [f for f in eq if f.keys == keys]
-            d = spark.read.schema(T.StructType([types[k] for k in keys])).parquet(*[f.path for f in own]).select("*", read_name().alias("_name"))
-            large = sum(f.bytes for f in own) > KEY_BYTES
-            rows = apply_equality_deletes(rows, _with_seq(spark, d, own).select(*keys, "_seq"), list(keys), "_seq", hint="merge" if large else None)
-    return rows.select(*logical, *([F.col("_name"), F.col("_pos")] if positions else []))
+    own_range = ["_range"] if ranges is not None else []
+    if eq or ranges is not None:
+        rows = with_file(spark, rows, data, ranges)
+    for keys in sorted({f.keys for f in eq}):
+        own = [f for f in eq if f.keys == keys]
+        d = read_files(spark, own, T.StructType([types[k] for k in keys])).select("*", read_name().alias("_name"))
+        large = sum(f.bytes for f in own) > KEY_BYTES
+        rows = apply_equality_deletes(rows, with_file(spark, d, own, ranges).select(*keys, *own_range, "_seq"), [*keys, *own_range], "_seq", hint="merge" if large else None)
+    return rows.select(*logical, *([F.col("_name"), F.col("_pos")] if positions else []), *own_range)

@@ -1,0 +1,63 @@
+"""Many commits and many compactions in one version each: the chain of one after the other."""
+
+import pytest
+
+from rillstone.plans import catalogue
+from rillstone.sources import changelog
+from rillstone.table import compact
+from rillstone.table.log import EQ, SOURCE, SQUASHED
+from tests.fixtures import DATA
+
+pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+
+
+def made(spark, monkeypatch):
+    monkeypatch.setattr(catalogue, "SIZE", 15)  # several batches a day
+    table, days = catalogue._state_table(spark, str(DATA))
+    return table, [[i for day in days[k : k + 2] for i in day] for k in range(0, 9, 3)]
+
+
+def chain(table):
+    meta = table.metadata()
+    return [(s.id, s.parent, s.seq, s.op, s.summary.get(SOURCE), s.summary.get(SQUASHED), sum(f.content == EQ for f in s.added) > 0) for s in meta.ancestors(meta.refs["main"])]
+
+
+def test_chain_and_rows_are_those_of_one_after_the_other(spark, rows, monkeypatch):
+    table, runs = made(spark, monkeypatch)
+    assert len(table._versions()) == 2  # a version per commit before
+    compact.compact_all(table, [(table.metadata().snapshots[r[0]].parent, r[-1]) for r in runs])
+    assert len(table._versions()) == 3
+    other, _ = made(spark, monkeypatch)
+    for own in runs:
+        meta = other.metadata()
+        run = [s for s in meta.ancestors(meta.refs["main"]) if int(s.summary.get(SOURCE, s.id)) in own][::-1]
+        compact.compact(other, run[0].parent, run[-1].id)
+    assert chain(table) == chain(other)
+    for (i, *_), at in list(zip(chain(table), range(100)))[::6]:
+        assert rows(table.read(i)) == rows(other.read(i))
+    assert rows(table.read()) == rows(other.read())
+
+
+def test_ranges_that_overlap_or_are_out_of_order_are_errors(spark, monkeypatch):
+    table, runs = made(spark, monkeypatch)
+    a, b = ((table.metadata().snapshots[r[0]].parent, r[-1]) for r in runs[1:])
+    for ranges in ([b, a], [a, a], [(a[0], 10**9)]):
+        with pytest.raises(compact.InvalidCompaction):
+            compact.compact_all(table, ranges)
+
+
+def test_a_day_that_comes_again_is_another(spark, monkeypatch):
+    """Before, one compaction took in all that lay between two copies of a day."""
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    n = events.agg({"event_id": "max"}).head()[0] + 1
+    twice = events.unionByName(events.withColumns({"event_id": events.event_id + n, "user_id": events.user_id + n}))
+    monkeypatch.setattr(catalogue, "_log", lambda s, d: changelog.from_events(twice))
+    _, once = made(spark, monkeypatch)
+    _, days = catalogue._state_table(spark, "")
+    assert len(days) > 40 and all(b - a == 1 for day in days for a, b in zip(day, day[1:]))
+
+
+def test_keys_of_a_commit_lie_in_one_file(spark, monkeypatch):
+    """Before, every task wrote a file for each commit."""
+    table, _ = made(spark, monkeypatch)
+    assert max(sum(f.content == EQ for f in s.added) for s in table.metadata().snapshots.values()) == 1
